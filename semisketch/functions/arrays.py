@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import let
@@ -66,7 +66,10 @@ def rank_corr(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.lit(6.0) * gap / (n * (n * n - 1))
 
 
-def cells(df, vector: str = "fp", *keys: str, decimals: int = 6):
-    """One row per cell: keys, ``i`` and the rounded ``v``."""
+def cells(df: DataFrame, vector: str = "fp", *keys: str, decimals: int = 6) -> DataFrame:
+    """One row per cell: keys, ``i`` and the rounded ``v``.
+
+    A small shift keeps values off rounding ties, where the last bit would decide.
+    """
     df = df.select(*keys, F.posexplode(vector).alias("i", "v"))
-    return df.withColumn("v", F.round(F.col("v"), decimals) + F.lit(0.0))
+    return df.withColumn("v", F.round(F.col("v") + 1e-9, decimals) + F.lit(0.0))

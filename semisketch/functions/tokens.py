@@ -16,7 +16,7 @@ letter meaning
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .vectors import Encoding
@@ -26,8 +26,18 @@ UNDEFINED = "u"
 
 
 def let(value: Column, body) -> Column:
-    """Bind ``value`` to a lambda variable, so that it is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body`` of ``value``, with ``value`` evaluated once and not copied."""
+    nothing = F.array().cast("array<int>")
+    return F.aggregate(nothing, value, lambda held, _: held, body)
+
+
+def computed_once(rows: DataFrame, kept: list[str], struct: Column) -> DataFrame:
+    """``rows`` with the fields of a costly struct expression as columns.
+
+    The struct goes through a generator of one row, so a later filter on one of its
+    fields is not pushed below it, which would compute it a second time.
+    """
+    return rows.select(*kept, F.inline(F.array(struct)))
 
 
 def string_token(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..functions.tokens import computed_once
 from ..functions.vectors import Encoding, statement_sum
 from .structure import Shape, containers, statements, vector_parts
 
@@ -77,16 +78,12 @@ def fingerprint_rows(docs: DataFrame, length: int = 50, decimals: int | None = 3
 
 def _summed(docs: DataFrame, lengths: list[int], shape: Shape, encoding: Encoding) -> DataFrame:
     found = statements(containers(F.col("body"), shape), shape)
-    rows = docs.select("doc_id", vector_parts(found).alias("parts"))
+    rows = computed_once(docs, ["doc_id"], F.struct(vector_parts(found).alias("parts")))
     sums = rows.select(
         "doc_id",
         F.size("parts").cast("long").alias("statements"),
         statement_sum(F.col("parts"), lengths, encoding).alias("sums"),
     )
-    if len(lengths) == 1:
-        return sums.select(
-            "doc_id", F.lit(lengths[0]).alias("L"), "statements", F.get("sums", F.lit(0)).alias("fp")
-        )
     pairs = F.arrays_zip(F.array(*map(F.lit, lengths)).alias("L"), F.col("sums").alias("fp"))
     sums = sums.select("doc_id", "statements", F.inline(pairs).alias("L", "fp"))
     return sums.select("doc_id", "L", "statements", "fp")

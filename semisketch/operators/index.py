@@ -70,7 +70,8 @@ def append_index(fps: DataFrame, path: str, length: int, normalize: bool = False
             raise ValueError(f"incompatible fingerprint sizes: {last.L} and {length}")
         batch = (last.batch or 0) + 1
         entries = new_only(entries, stored)
-    entries.write.parquet(f"{path}/batch={batch}")
+    # a batch directory beyond the last one can only be left from a failed attempt
+    entries.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def stored_index(spark: SparkSession, path: str) -> DataFrame:

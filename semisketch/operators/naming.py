@@ -13,16 +13,15 @@ def simplify_names(names: DataFrame, column: str = "name") -> DataFrame:
     end of the longest name, are dropped and the rest is joined by dots.  Where
     nothing differs ``simple`` is NULL.
     """
-    parts = F.split(column, "[/.]")
+    # trailing separators make no parts
+    parts = F.split(F.regexp_replace(column, "[/.]+$", ""), "[/.]")
     # per position only: does the part vary? (one small row per position)
     places = names.select(F.posexplode(parts).alias("place", "part")).groupBy("place").agg(
         (F.min("part") != F.max("part")).alias("varies")
     )
-    # one row in all
     span = places.where("varies").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    kept = F.slice(parts, F.col("first") + 1, F.col("last") - F.col("first") + 1)
-    return (
-        names.join(F.broadcast(span))
-        .withColumn("simple", F.array_join(kept, "."))
-        .drop("first", "last")
-    )
+    first, last = span.first()
+    if first is None:
+        return names.withColumn("simple", F.lit(None).cast("string"))
+    kept = [F.coalesce(F.get(parts, F.lit(i)), F.lit("")) for i in range(first, last + 1)]
+    return names.withColumn("simple", F.concat_ws(".", *kept))

@@ -17,20 +17,18 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import UNDEFINED, ZERO, count_token, let, string_token, token_text
 
-_MEMBERS = "array<struct<key:string,pos:int,raw:variant>>"
-_OPEN_ENTRIES = (
-    "array<struct<key:string,pos:int,type:string,text:string,kept:boolean,size:int,"
-    f"members:{_MEMBERS}>>"
-)
 _ENTRIES = (
     "array<struct<key:string,pos:int,type:string,text:string,kept:boolean,"
     "size:int,kids:int,only:string>>"
 )
 _HEAD = "name:string,base:string,path:array<string>,type:string"
-_OPEN = f"array<struct<{_HEAD},entries:{_OPEN_ENTRIES}>>"
 _CONTAINERS = f"array<struct<{_HEAD},entries:{_ENTRIES}>>"
 
 
+# Levels walked in each round before the depth of a document is looked at.
+LEVELS = (3, 5)
+
+
 @dataclass(frozen=True)
 class Shape:
     """How documents are read as trees."""
@@ -46,31 +44,28 @@ class Shape:
     root: str = "root"
 
 
-def _is_singleton(v: Column) -> Column:
-    first = F.try_variant_get(v, "$[0]", "variant")
-    second = F.try_variant_get(v, "$[1]", "variant")
-    return first.isNotNull() & second.isNull()
-
-
 def _unwrap(v: Column) -> Column:
     """Element of an array of one, repeated for arrays nested that way."""
     layers = F.length(F.regexp_extract(v.try_cast("string"), r"^\[+", 0))
-    inner = F.aggregate(
-        F.sequence(F.lit(1), layers),
-        v,
-        lambda x, _: F.when(_is_singleton(x), F.try_variant_get(x, "$[0]", "variant")).otherwise(x),
-    )
-    return F.when(_is_singleton(v), inner).otherwise(v)
 
+    def inner(x, _):
+        return let(
+            x.try_cast("array<variant>"),
+            lambda items: F.when(F.size(items) == 1, F.get(items, F.lit(0))).otherwise(x),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), layers), v, inner)
 
-def _scalar_type(v: Column) -> Column:
-    """Type letter of a scalar variant."""
-    schema = F.schema_of_variant(v)
+
+def _type_letter(schema: Column) -> Column:
+    """Type letter by the schema text of a scalar variant."""
     return (
-        F.when(v.isNull() | (schema == "VOID"), "u")
+        F.when(schema == "STRING", "s")
+        .when(schema == "BIGINT", "i")
+        .when(schema.isNull() | (schema == "VOID"), "u")
         .when(schema == "BOOLEAN", "b")
         # whole numbers of 19 digits and more are decimals without a scale
-        .when(schema.rlike(r"^(BIGINT|DECIMAL\((19|[23]\d),0\))$"), "i")
+        .when(schema.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "i")
         .when(schema.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "f")
         .otherwise("s")
     )
@@ -88,63 +83,15 @@ def _object_members(v: Column, shape: Shape) -> Column:
     )
 
 
-def _array_members(v: Column) -> Column:
+def _array_members(items: Column) -> Column:
     return F.transform(
-        v.try_cast("array<variant>"),
+        items,
         lambda x, i: F.struct(
             F.lit(None).cast("string").alias("key"), i.alias("pos"), x.alias("raw")
         ),
     )
 
 
-def _opened(key: Column, pos: Column, raw: Column, shape: Shape) -> Column:
-    """Entry with its type, text and, for containers, its members."""
-
-    def typed(s):
-        o, a = s["o"], s["a"]
-        letter = F.when(o.isNotNull(), "o").when(a.isNotNull(), "a").otherwise(_scalar_type(s["v"]))
-        if not shape.open_arrays:
-            letter = F.when(letter == "a", "l").otherwise(letter)
-        members = F.coalesce(o, a) if shape.open_arrays else o
-        return F.struct(
-            s["key"].alias("key"),
-            s["pos"].alias("pos"),
-            letter.alias("type"),
-            F.when(o.isNull() & a.isNull(), s["v"].try_cast("string")).alias("text"),
-            F.size(F.coalesce(o, a)).alias("size"),
-            s["wrapped"].alias("wrapped"),
-            members.alias("members"),
-        )
-
-    def flagged(s):
-        return F.struct(
-            s["key"].alias("key"),
-            s["pos"].alias("pos"),
-            s["type"].alias("type"),
-            s["text"].alias("text"),
-            (s["wrapped"] | _kept(s["type"], s["text"], s["size"], shape)).alias("kept"),
-            F.coalesce(s["size"], F.lit(0)).alias("size"),
-            s["members"].alias("members"),
-        )
-
-    def members_of(s):
-        return F.struct(
-            s["key"].alias("key"),
-            s["pos"].alias("pos"),
-            s["v"].alias("v"),
-            s["wrapped"].alias("wrapped"),
-            _object_members(s["v"], shape).alias("o"),
-            _array_members(s["v"]).alias("a"),
-        )
-
-    wrapped = _is_singleton(raw) if shape.flatten_singletons else F.lit(False)
-    value = _unwrap(raw) if shape.flatten_singletons else raw
-    entry = F.struct(
-        key.alias("key"), pos.alias("pos"), value.alias("v"), wrapped.alias("wrapped")
-    )
-    return let(let(let(entry, members_of), typed), flagged)
-
-
 def _kept(kind: Column, text: Column, size: Column, shape: Shape) -> Column:
     """Is an object or set entry with this value a statement?"""
     nonzero = F.coalesce(text.try_cast("double") != 0, F.lit(True))
@@ -175,12 +122,76 @@ def _kept(kind: Column, text: Column, size: Column, shape: Shape) -> Column:
 
 
 def _open_members(members: Column, parent_type: Column, shape: Shape) -> Column:
-    entries = F.transform(members, lambda m: _opened(m["key"], m["pos"], m["raw"], shape))
-    if shape.arrays_are_sets or shape.truthy_only:
-        return entries
+    """Entries of a container: members with their type, text and own members.
+
+    Each stage computes what the next one uses several times.
+    """
     # every item of an ordered array takes part in its chain
-    return F.when(parent_type != "a", entries).otherwise(
-        F.transform(entries, lambda e: e.withField("kept", F.lit(True)))
+    chained = not (shape.arrays_are_sets or shape.truthy_only)
+
+    def as_array(m):
+        items = m["raw"].try_cast("array<variant>")
+        return F.struct(
+            m["key"].alias("key"), m["pos"].alias("pos"), m["raw"].alias("raw"), items.alias("a")
+        )
+
+    def inside(s, v, items, wrapped):
+        return F.struct(
+            s["key"].alias("key"),
+            s["pos"].alias("pos"),
+            v.alias("v"),
+            F.lit(wrapped).alias("wrapped"),
+            _object_members(v, shape).alias("o"),
+            items.alias("a"),
+        )
+
+    def as_object(s):
+        plain = inside(s, s["raw"], s["a"], False)
+        if not shape.flatten_singletons:
+            return plain
+        alone = let(
+            _unwrap(s["raw"]), lambda v: inside(s, v, v.try_cast("array<variant>"), True)
+        )
+        return F.when(F.size(s["a"]) == 1, alone).otherwise(plain)
+
+    def described(s):
+        scalar = s["o"].isNull() & s["a"].isNull()
+        items = _array_members(s["a"])
+        return F.struct(
+            s["key"].alias("key"),
+            s["pos"].alias("pos"),
+            s["wrapped"].alias("wrapped"),
+            s["o"].isNotNull().alias("is_object"),
+            F.when(scalar, F.schema_of_variant(s["v"])).alias("schema"),
+            F.when(scalar, s["v"].try_cast("string")).alias("text"),
+            F.coalesce(F.size(s["o"]), F.size(s["a"]), F.lit(0)).alias("size"),
+            scalar.alias("scalar"),
+            (F.coalesce(s["o"], items) if shape.open_arrays else s["o"]).alias("members"),
+        )
+
+    def entry(s):
+        array_letter = "a" if shape.open_arrays else "l"
+        letter = (
+            F.when(s["scalar"], _type_letter(s["schema"]))
+            .when(s["is_object"], "o")
+            .otherwise(array_letter)
+        )
+        kept = s["wrapped"] | _kept(letter, s["text"], s["size"], shape)
+        if chained:
+            kept = (parent_type == "a") | kept
+        return F.struct(
+            s["key"].alias("key"),
+            s["pos"].alias("pos"),
+            letter.alias("type"),
+            s["text"].alias("text"),
+            kept.alias("kept"),
+            s["size"].alias("size"),
+            s["members"].alias("members"),
+        )
+
+    return F.transform(
+        members,
+        lambda m: let(as_array(m), lambda s: let(let(as_object(s), described), entry)),
     )
 
 
@@ -256,39 +267,49 @@ def containers(body: Column, shape: Shape = Shape()) -> Column:
         deeper = F.filter(c["entries"], lambda x: x["e"]["kept"] & (F.size(x["kids"]) > 0))
         return F.transform(deeper, child)
 
+    def split(c):
+        return F.struct(below(c).alias("open"), finished(c).alias("done"))
+
     def step(state, _):
-        advanced = let(
-            F.transform(state["open"], expand),
-            lambda cur: F.struct(
-                F.flatten(F.transform(cur, below)).alias("open"),
-                F.concat(state["done"], F.transform(cur, finished)).alias("done"),
-            ),
-        )
-        return F.when(F.size(state["open"]) > 0, advanced).otherwise(state)
-
-    start = let(
-        _opened(F.lit(None).cast("string"), F.lit(None).cast("int"), body, shape),
-        lambda r: F.filter(
-            F.array(
-                F.struct(
-                    F.lit("s" + shape.root).alias("name"),
-                    F.lit(ZERO).alias("base"),
-                    F.array().cast("array<string>").alias("path"),
-                    r["type"].alias("type"),
-                    _open_members(r["members"], r["type"], shape).alias("entries"),
-                )
-            ),
-            lambda c: F.size(c["entries"]) > 0,
-        ),
+        def advance(parts):
+            return F.struct(
+                F.flatten(F.transform(parts, lambda p: p["open"])).alias("open"),
+                F.concat(state["done"], F.transform(parts, lambda p: p["done"])).alias("done"),
+            )
+
+        parts = F.transform(state["open"], lambda c: let(expand(c), split))
+        return F.when(F.size(state["open"]) > 0, let(parts, advance)).otherwise(state)
+
+    # the document as the only member of nothing
+    root = F.struct(
+        F.lit(None).cast("string").alias("key"),
+        F.lit(None).cast("int").alias("pos"),
+        body.alias("raw"),
     )
-    zero = F.struct(
-        start.cast(_OPEN).alias("open"), F.array().cast(_CONTAINERS).alias("done")
+    start = F.transform(
+        _open_members(F.array(root), F.lit("o"), shape),
+        lambda r: F.struct(
+            F.lit("s" + shape.root).alias("name"),
+            F.lit(ZERO).alias("base"),
+            F.array().cast("array<string>").alias("path"),
+            r["type"].alias("type"),
+            _open_members(r["members"], r["type"], shape).alias("entries"),
+        ),
     )
-    # a document is nowhere deeper than it has opening brackets
-    text = body.try_cast("string")
-    brackets = F.length(text) - F.length(F.translate(text, "[{", ""))
-    levels = F.sequence(F.lit(1), F.greatest(brackets, F.lit(1)))
-    return F.aggregate(levels, zero, step)["done"]
+    start = F.filter(start, lambda c: F.size(c["entries"]) > 0)
+    zero = F.struct(start.alias("open"), F.array().cast(_CONTAINERS).alias("done"))
+    def walked(state, rounds):
+        if rounds:
+            more = F.aggregate(F.sequence(F.lit(1), F.lit(rounds[0])), state, step)
+            more = let(more, lambda s: walked(s, rounds[1:]))
+        else:
+            # a document is nowhere deeper than it has opening brackets
+            text = body.try_cast("string")
+            brackets = F.length(text) - F.length(F.translate(text, "[{", ""))
+            more = F.aggregate(F.sequence(F.lit(1), brackets), state, step)["done"]
+        return F.when(F.size(state["open"]) > 0, more).otherwise(state["done"])
+
+    return let(zero, lambda state: walked(state, LEVELS))
 
 
 def size_or_text(entry: Column) -> Column:
@@ -488,9 +509,7 @@ def nodes(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     ``kind`` is the value's type letter ('o', 'a' or a scalar), ``value`` its text.
     """
     opened = docs.select("doc_id", F.explode(containers(F.col("body"), shape)).alias("c"))
-    entries = opened.select("doc_id", "c.path", "c.type", F.inline("c.entries")).toDF(
-        "doc_id", "parent", "container", "key", "pos", "kind", "value", "kept", "size", "kids"
-    )
+    entries = opened.select("doc_id", F.col("c.path").alias("parent"), F.inline("c.entries"))
     step = F.coalesce(F.col("key"), F.col("pos").cast("string"))
     return entries.select(
         "doc_id",
@@ -499,8 +518,8 @@ def nodes(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
         (F.size("parent") + 1).alias("depth"),
         "key",
         "pos",
-        "kind",
-        "value",
+        F.col("type").alias("kind"),
+        F.col("text").alias("value"),
         "kept",
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,11 @@ def materialize(df: DataFrame) -> DataFrame:
     Without such a folder the plan stays as it is and is computed again on use.
     """
     return df.checkpoint() if checkpoint_folder(df.sparkSession) else df
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, for files that a job writes and reads back."""
+    folder = checkpoint_folder(spark)
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}"

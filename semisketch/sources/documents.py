@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tokens import file_stem, sanitize_id
+from ..functions.tokens import computed_once, file_stem, let, sanitize_id
 
 # A private-use character that closes the wrapped text in ``strict_json``.
 _END = ""
@@ -18,21 +18,23 @@ def strict_json(text: Column) -> Column:
     parsed as the first of two array items and the second must turn up in place.
     """
     pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
-    closed = F.try_variant_get(pair, "$[1]", "string") == _END
-    single = closed & F.try_variant_get(pair, "$[2]", "variant").isNull()
     keyed = F.try_parse_json(F.concat(F.lit('{"d":'), text, F.lit("}"))).isNotNull()
     genuine = ~F.contains(text, F.lit(_END)) | keyed
-    return F.when(single & genuine, F.try_variant_get(pair, "$[0]", "variant"))
 
+    def first(items):
+        closed = (F.size(items) == 2) & (F.get(items, F.lit(1)).try_cast("string") == _END)
+        return F.when(closed & genuine, F.get(items, F.lit(0)))
+
+    return let(pair.try_cast("array<variant>"), first)
+
+
+# Fixed value: JSON texts that count as empty documents.
+_BLANK = r'^\s*(?:\{\s*\}|\[\s*\]|""|false|null|-?0(?:\.0*)?(?:[eE][+-]?\d+)?)?\s*$'
 
-def is_blank(body: Column) -> Column:
-    """Is the document nothing at all: {}, [], "", 0, false or null?"""
-    text = body.try_cast("string")
-    number = (text.try_cast("double") == 0) & F.schema_of_variant(body).rlike(
-        "^(BIGINT|DECIMAL|DOUBLE)"
-    )
-    literal = text.isin("{}", "[]", "") | ((text == "false") & F.is_variant_null(body).eqNullSafe(False))
-    return F.is_variant_null(body) | F.coalesce(literal, F.lit(False)) | F.coalesce(number, F.lit(False))
+
+def is_blank(text: Column) -> Column:
+    """Is the document nothing at all: no text, {}, [], "", 0, false or null?"""
+    return F.coalesce(text.rlike(_BLANK), F.lit(True))
 
 
 def allow_duplicate_keys(spark: SparkSession) -> None:
@@ -43,12 +45,13 @@ def allow_duplicate_keys(spark: SparkSession) -> None:
 def parse_documents(rows: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``body`` and ``reason`` (NULL, 'empty' or 'invalid') in place of ``text``."""
     allow_duplicate_keys(rows.sparkSession)
-    empty = F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) == 0
-    parsed = rows.withColumn("body", strict_json(F.col(text)))
-    reason = (
-        F.when(empty, "empty").when(F.col("body").isNull(), "invalid").when(is_blank(F.col("body")), "empty")
-    )
-    return parsed.withColumn("reason", reason).drop(text)
+    kept = [c for c in rows.columns if c != text]
+
+    def judged(body):
+        reason = F.when(is_blank(F.col(text)), "empty").when(body.isNull(), "invalid")
+        return F.struct(body.alias("body"), reason.alias("reason"))
+
+    return computed_once(rows, kept, let(strict_json(F.col(text)), judged))
 
 
 def valid_docs(parsed: DataFrame) -> DataFrame:
@@ -88,11 +91,11 @@ def require_id(docs: DataFrame, on_missing: str = "skip") -> DataFrame:
 
 def entities(bodies: DataFrame, id_field: str, on_missing: str = "skip") -> DataFrame:
     """Entities whose id is one of their own fields."""
-    docs = bodies.select(
+    split = F.struct(
         field(F.col("body"), id_field).alias("doc_id"),
         drop_id_field(F.col("body"), id_field).alias("body"),
     )
-    docs = require_id(docs, on_missing)
+    docs = require_id(computed_once(bodies, [], split), on_missing)
     return docs.withColumn("doc_id", sanitize_id(F.col("doc_id")))
 
 
@@ -160,8 +163,8 @@ def json_lines(lines: DataFrame, id_field: str) -> DataFrame:
     allow_duplicate_keys(lines.sparkSession)
     objects = lines.where(F.col("value").rlike(r"^\s*\{"))
     text = F.regexp_replace("value", ",$", "")
-    bodies = objects.select(strict_json(text).alias("body")).where(F.col("body").isNotNull())
-    return entities(bodies, id_field)
+    parsed = computed_once(objects, [], F.struct(strict_json(text).alias("body")))
+    return entities(parsed.where(F.col("body").isNotNull()), id_field)
 
 
 def read_json_lines(spark: SparkSession, path, id_field: str) -> DataFrame:

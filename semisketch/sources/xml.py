@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tokens import let
+from ..functions.tokens import computed_once, let
 from .documents import entities, whole_files
 
 # A private-use character put before every text, so that the parser takes none of
@@ -50,7 +50,7 @@ def xml_body(text: Column) -> Column:
 def read_xml_dir(spark: SparkSession, path, recursive: bool = False) -> DataFrame:
     """One document per file; files that cannot be parsed are left out."""
     files = whole_files(spark, path, "xml", recursive=recursive)
-    docs = files.select("doc_id", xml_body(F.col("text")).alias("body"))
+    docs = computed_once(files, ["doc_id"], F.struct(xml_body(F.col("text")).alias("body")))
     return docs.where(F.col("body").isNotNull())
 
 
@@ -74,5 +74,5 @@ def read_xml_records(
     rows = pieces.select(F.explode(found).alias("r")).select(
         F.coalesce(whole, F.concat("r", F.lit(f"</{row_tag}>"))).alias("text")
     )
-    bodies = rows.select(xml_body(F.col("text")).alias("body")).where(F.col("body").isNotNull())
-    return entities(bodies, id_field, on_missing)
+    bodies = computed_once(rows, [], F.struct(xml_body(F.col("text")).alias("body")))
+    return entities(bodies.where(F.col("body").isNotNull()), id_field, on_missing)
