@@ -277,6 +277,20 @@ def token_vector(token: Column, length: int, enc: Encoding) -> Column:
     return vector(token)
 
 
+def combined(a: Column, b: Column, c: Column, enc: Encoding) -> Column:
+    """ARRAY<DOUBLE> of one statement, of its base, key and value vectors."""
+
+    @F.arrow_udf("array<double>")
+    def combine(x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
+        if not len(x):
+            return pa.array([], pa.list_(pa.float64()))
+        shape = (len(x), -1)
+        m = [v.flatten().to_numpy(zero_copy_only=False).reshape(shape) for v in (x, y, z)]
+        return _rows_to_arrow(combine_rows(*m, enc))
+
+    return combine(a, b, c)
+
+
 def statement_sum(statements: Column, lengths, enc: Encoding) -> Column:
     """ARRAY<ARRAY<DOUBLE>>: for each length the summed vector of one document."""
     lengths = [int(n) for n in lengths]

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..functions.tokens import computed_once
-from ..functions.vectors import Encoding, statement_sum
+from ..functions.tokens import ZERO, computed_once
+from ..functions.vectors import Encoding, combined, statement_sum, token_vector
 from .structure import Shape, containers, statements, vector_parts
 
 
@@ -89,6 +89,43 @@ def _summed(docs: DataFrame, lengths: list[int], shape: Shape, encoding: Encodin
     return sums.select("doc_id", "L", "statements", "fp")
 
 
+def token_dim(triples: DataFrame, length: int, encoding: Encoding = Encoding()) -> DataFrame:
+    """``(token, vec)``: the distinct tokens of a triple table with their vectors.
+
+    Distinct first, in partial aggregates, so a token in every row is no burden.
+    """
+    tokens = F.explode(F.array("base", _key_token(), "cargo")).alias("token")
+    return triples.select(tokens).distinct().select(
+        "token", token_vector(F.col("token"), length, encoding).alias("vec")
+    )
+
+
+def triple_vectors(triples: DataFrame, length: int, encoding: Encoding = Encoding()) -> DataFrame:
+    """Triples with the vectors of their base, key and cargo.
+
+    Vectors are computed next to the rows, a distinct token once per batch, rather
+    than joined: a join on tokens would move every row three times and pile up on
+    the common ones.
+    """
+    vector = {
+        name: token_vector(token, length, encoding)
+        for name, token in (
+            ("base_vec", F.col("base")), ("key_vec", _key_token()), ("cargo_vec", F.col("cargo"))
+        )
+    }
+    return triples.withColumns(vector)
+
+
+def combine(rows: DataFrame, encoding: Encoding = Encoding()) -> DataFrame:
+    """``vec`` of each statement out of ``base_vec``, ``key_vec`` and ``cargo_vec``."""
+    parts = [F.col(c) for c in ("base_vec", "key_vec", "cargo_vec")]
+    return rows.withColumn("vec", combined(*parts, encoding))
+
+
+def _key_token():
+    return F.when(F.col("kind") == "set", F.lit(ZERO)).otherwise(F.col("key"))
+
+
 def finish(fps: DataFrame, dialect: str, normalize: bool, decimals: int | None) -> DataFrame:
     """Optional z-score, then rounding."""
     if normalize:

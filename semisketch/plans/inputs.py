@@ -12,6 +12,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Spread rows over the cores where the files give fewer splits than there are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def order_texts(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, text)``: an order as JSON with every kind of structure."""
     text = F.concat(
@@ -33,7 +39,7 @@ def order_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def order_docs(spark: SparkSession, folder: str) -> DataFrame:
-    return valid_docs(parse_documents(order_texts(spark, folder)))
+    return valid_docs(parse_documents(spread(order_texts(spark, folder))))
 
 
 def lineitem_docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,7 +54,7 @@ def lineitem_docs(spark: SparkSession, folder: str) -> DataFrame:
     )
     key = F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber"))
     rows = lines.select(key.alias("doc_id"), F.to_json(body).alias("text"))
-    return valid_docs(parse_documents(rows))
+    return valid_docs(parse_documents(spread(rows)))
 
 
 def supplier_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,14 +78,15 @@ def turn_docs(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations")
     key = F.concat_ws("-", F.col("conv_id"), F.col("turn"))
     body = F.to_json(F.struct("role", F.array("text").alias("said"), "turn"))
-    return valid_docs(parse_documents(turns.select(key.alias("doc_id"), body.alias("text"))))
+    rows = turns.select(key.alias("doc_id"), body.alias("text"))
+    return valid_docs(parse_documents(spread(rows)))
 
 
 def event_docs(spark: SparkSession, folder: str) -> DataFrame:
     """The JSON column of the event table."""
     events = table(spark, folder, "events")
     rows = events.select(F.col("event_id").cast("string").alias("doc_id"), F.col("props").alias("text"))
-    return valid_docs(parse_documents(rows))
+    return valid_docs(parse_documents(spread(rows)))
 
 
 def embedding_fps(spark: SparkSession, folder: str) -> DataFrame:
