@@ -77,7 +77,7 @@ def fingerprint_rows(docs: DataFrame, length: int = 50, decimals: int | None = 3
 
 
 def _summed(docs: DataFrame, lengths: list[int], shape: Shape, encoding: Encoding) -> DataFrame:
-    found = statements(containers(F.col("body"), shape), shape)
+    found = statements(containers(shape), shape)
     rows = computed_once(docs, ["doc_id"], F.struct(vector_parts(found).alias("parts")))
     sums = rows.select(
         "doc_id",

@@ -11,6 +11,7 @@ one element stands for that element).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ _CONTAINERS = f"array<struct<{_HEAD},entries:{_ENTRIES}>>"
 
 
 # Levels walked in each round before the depth of a document is looked at.
-LEVELS = (3, 5)
+LEVELS = (6,)
 
 
 @dataclass(frozen=True)
@@ -195,8 +196,9 @@ def _open_members(members: Column, parent_type: Column, shape: Shape) -> Column:
     )
 
 
-def containers(body: Column, shape: Shape = Shape()) -> Column:
-    """ARRAY of the containers of one document, outermost first.
+@lru_cache(maxsize=64)
+def containers(shape: Shape = Shape()) -> Column:
+    """Of column ``body``: ARRAY of the containers of one document, outermost first.
 
     Each has ``name``, ``base`` (the token of the key it sits under), ``path``,
     ``type`` ('o' or 'a') and ``entries`` (key, pos, type, text, kept, size =
@@ -204,6 +206,8 @@ def containers(body: Column, shape: Shape = Shape()) -> Column:
     an array of one).
     """
 
+    body = F.col("body")
+
     def expand(c):
         return F.struct(
             c["name"].alias("name"),
@@ -466,7 +470,7 @@ def preorder_statements(found: Column) -> Column:
 
 def with_statements(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """``docs`` with ``statements`` in place of ``body``."""
-    found = containers(F.col("body"), shape)
+    found = containers(shape)
     return docs.select(
         *[c for c in docs.columns if c != "body"], statements(found, shape).alias("statements")
     )
@@ -494,7 +498,7 @@ def triples_preorder(docs: DataFrame, exclude_keys=()) -> DataFrame:
         index_names=False,
         exclude_keys=tuple(exclude_keys),
     )
-    found = preorder_statements(containers(F.col("body"), shape))
+    found = preorder_statements(containers(shape))
     return docs.select("doc_id", F.inline(found)).drop("base")
 
 
@@ -508,7 +512,7 @@ def nodes(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
 
     ``kind`` is the value's type letter ('o', 'a' or a scalar), ``value`` its text.
     """
-    opened = docs.select("doc_id", F.explode(containers(F.col("body"), shape)).alias("c"))
+    opened = docs.select("doc_id", F.explode(containers(shape)).alias("c"))
     entries = opened.select("doc_id", F.col("c.path").alias("parent"), F.inline("c.entries"))
     step = F.coalesce(F.col("key"), F.col("pos").cast("string"))
     return entries.select(
@@ -526,6 +530,6 @@ def nodes(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
 
 def child_counts(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """Per container the number that stands for it as a value."""
-    opened = docs.select("doc_id", F.explode(containers(F.col("body"), shape)).alias("c"))
+    opened = docs.select("doc_id", F.explode(containers(shape)).alias("c"))
     kept = F.size(F.filter("c.entries", lambda e: e["kept"]))
     return opened.select("doc_id", "c.path", F.col("c.type").alias("kind"), kept.alias("children"))

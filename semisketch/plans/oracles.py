@@ -168,7 +168,7 @@ grid as (select tn.token, g.i, coalesce(cell.v, 0) as v from tn
   cross join (select unnest(range({length})) as i) g
   left join cell on cell.token = tn.token and cell.i = g.i),
 low as (select token, min(v) as lo, sum(v) - {length} * min(v) as total from grid group by token),
-vec as (select grid.token, cast(grid.i as int) as i,
+vec as materialized (select grid.token, cast(grid.i as int) as i,
   case when total <> 0 then (v - lo) / total else v - lo end as v
   from grid join low on low.token = grid.token)"""
 
@@ -185,24 +185,23 @@ def token_sql(tokens: str, length=13, columns="token", **options) -> str:
 
 
 def combined_ctes(length: int, combine: str) -> str:
-    """CTEs from st and vec to cmb(base, key, cargo, i, v), per distinct statement."""
-    if combine == "average":
-        return f"""
-trio as (select distinct base, key, cargo from parts),
-cmb as (select t.base, t.key, t.cargo, a.i, (a.v + b.v + c.v) / 3 as v from trio t
-  join vec a on a.token = t.base
-  join vec b on b.token = t.key and b.i = (a.i + 1) % {length}
-  join vec c on c.token = t.cargo and c.i = (a.i + 2) % {length})"""
-    return f"""
+    """CTEs from parts and vec to cmb(base, key, cargo, i, v), per distinct statement."""
+    step = int(combine == "average")
+    three = f"""
 trio as (select distinct base, key, cargo from parts),
-raw as (select t.base, t.key, t.cargo, a.i, pow((1 + abs(a.v * cos(a.v)))
-  * (1 + abs(b.v * cos(2 * b.v))) * (1 + abs(c.v * cos(3 * c.v))), 1.0 / 3) - 1 as v from trio t
-  join vec a on a.token = t.base
-  join vec b on b.token = t.key and b.i = a.i
-  join vec c on c.token = t.cargo and c.i = a.i),
+one as materialized (select t.base, t.key, t.cargo, a.i, a.v as av from trio t join vec a on a.token = t.base),
+two as materialized (select t.*, b.v as bv from one t join vec b
+  on b.token = t.key and b.i = (t.i + {step}) % {length}),
+tri as materialized (select t.*, c.v as cv from two t join vec c
+  on c.token = t.cargo and c.i = (t.i + {2 * step}) % {length}),"""
+    if combine == "average":
+        return f"{three}\ncmb as (select base, key, cargo, i, (av + bv + cv) / 3 as v from tri)"
+    return f"""{three}
+raw as materialized (select base, key, cargo, i, pow((1 + abs(av * cos(av)))
+  * (1 + abs(bv * cos(2 * bv))) * (1 + abs(cv * cos(3 * cv))), 1.0 / 3) - 1 as v from tri),
 lows as (select base, key, cargo, min(v) as lo, sum(v) - {length} * min(v) as total
   from raw group by base, key, cargo),
-cmb as (select r.base, r.key, r.cargo, r.i,
+cmb as materialized (select r.base, r.key, r.cargo, r.i,
   case when abs(total) > 1e-12 then (v - lo) / total else 0.0 end as v
   from raw r join lows l on l.base = r.base and l.key = r.key and l.cargo = r.cargo)"""
 

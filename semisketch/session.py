@@ -37,3 +37,22 @@ def scratch_folder(spark: SparkSession) -> str:
     if folder is None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def local_session(cores: str = "*", **more: str) -> SparkSession:
+    """A session for tests and benchmarks on one machine.
+
+    PySpark notes the call site of every column operation unless told not to when
+    the session starts; the expressions here have hundreds.
+    """
+    settings = {
+        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
+        "spark.ui.enabled": "false",
+        **more,
+    }
+    builder = SparkSession.builder.master(f"local[{cores}]")
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()

@@ -110,12 +110,10 @@ def whole_files(
     The id is the file name, or with ``recursive`` the path below ``path``, without
     its extension.
     """
-    reader = spark.read.option("wholetext", True)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", True)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    files = reader.text(path).select("_metadata.file_path", F.col("value").alias("text"))
+    found = spark.read.text(
+        path, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter=pattern
+    )
+    files = found.select("_metadata.file_path", F.col("value").alias("text"))
     name = F.url_decode(F.regexp_replace("file_path", r"\+", "%2B"))
     if recursive:
         below = str(path).rstrip("/").removeprefix("file:") + "/"
@@ -137,7 +135,7 @@ def read_json_tree(spark: SparkSession, path) -> DataFrame:
 
 
 def _whole_values(spark: SparkSession, path) -> DataFrame:
-    text = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("text"))
+    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
     return valid_docs(parse_documents(text))
 
 
