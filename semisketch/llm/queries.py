@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import license_scan, line_dedup, mixing, sql, token_counts
+from . import license_scan, line_dedup, mixing, packing, sql, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,9 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mix = mixing.schedule(table(spark, folder, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register()
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.packed(table(spark, folder, "documents"), path)
