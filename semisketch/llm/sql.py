@@ -75,3 +75,25 @@ select doc_id, size, source_size, target,
               + (2 * (source_size + before) + size <= 2 * target)::int))::bigint as taken
 from placed
 """
+
+
+JACCARD = rf"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWERED}), '[^\x20\x09-\x0D]+') as w from documents
+), grams as (
+  select distinct doc_id, g from (
+    select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+      else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as g
+    from words)
+), sizes as (select doc_id, count(*) as n from grams group by doc_id
+), links as (
+  select x.doc_id as a, y.doc_id as b from grams x join grams y on x.g = y.g and x.doc_id <> y.doc_id
+  join sizes s on s.doc_id = x.doc_id join sizes t on t.doc_id = y.doc_id
+  group by x.doc_id, y.doc_id, s.n, t.n having 100 * count(*) >= 85 * (s.n + t.n - count(*))
+), reach(doc_id, other) as (
+  select a, b from links union select r.doc_id, l.b from reach r join links l on r.other = l.a
+)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id
+from words left join sizes using (doc_id)
+left join (select doc_id, min(other) as m from reach group by doc_id) using (doc_id)
+"""
