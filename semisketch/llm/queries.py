@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import jaccard_join, license_scan, line_dedup, mixing, packing, sql, token_counts
+from . import ann, embedding_dedup, jaccard_join, license_scan, line_dedup, mixing, packing, sql, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,14 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 @register(sql.JACCARD)
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, folder, "documents"))
+
+
+@register(sql.NEAREST)
+def op4_ann(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return ann.search(rows, rows.filter(F.col("vec_id") % 20 == 0))
+
+
+@register(sql.NEAR_VECTORS)
+def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))

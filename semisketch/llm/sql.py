@@ -97,3 +97,33 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(m, d
 from words left join sizes using (doc_id)
 left join (select doc_id, min(other) as m from reach group by doc_id) using (doc_id)
 """
+
+USABLE = """
+vectors as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+)"""
+
+NEAREST = f"""
+with {USABLE}, scored as (
+  select q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e) as score
+  from vectors q join vectors v on v.vec_id <> q.vec_id where q.vec_id % 20 = 0
+), ranked as (
+  select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+"""
+
+NEAR_VECTORS = f"""
+with recursive {USABLE}, links as (
+  select x.vec_id as a, y.vec_id as b from vectors x join vectors y on x.vec_id <> y.vec_id
+  where list_cosine_similarity(x.e, y.e) >= 0.95
+), reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a
+), found as (
+  select vec_id, (select count(*) from links where a = vec_id) as n_links,
+         least(vec_id, coalesce((select min(b) from reach where a = vec_id), vec_id)) as component_id
+  from embeddings
+)
+select vec_id, n_links, component_id, vec_id = component_id as kept from found
+"""
