@@ -96,7 +96,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     turn = Window.partitionBy("embedding").orderBy("vec_id")
     rows = stored(rows.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= k + 1).drop("turn"))
     dim = max(dimension(rows), 1)
-    spread = lambda parts: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+    spread = lambda parts: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(parts)).cast("int")
     blocks, strips = (max(1, -(-n // size)) for n, size in ((rows.count(), BLOCK), (wanted.count(), STRIP)))
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     met = rows.select("vec_id", "embedding", F.lit(False).alias("asks"), spread(blocks).alias("block"), every(strips).alias("strip")).union(
