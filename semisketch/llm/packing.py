@@ -13,6 +13,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -26,9 +27,11 @@ CAPACITY = 4096
 #: Closes every document.
 END = 1
 #: Distinct chunks a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_400_000
 #: Characters that are cut and looked up at a time.
-SLICE = 1_000_000
+SLICE = 250_000
+#: Marks that are one pre-token after letters; no apostrophe, which can open another.
+MARKS = '!"#$%&()*+,-./:;<=?@[]^_`{|}~'
 #: Blanks for ``str.split`` that are none for the tokenizer's pattern.
 _ODD = re.compile("[\x1c-\x1f]")
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -58,9 +61,25 @@ class Words(dict):
         return cls._of[path]
 
     def learn(self, chunks: list[str]) -> None:
-        """Encode chunks. Letters alone are one word each, which ends in the one token
-        that closes it, so many of them are encoded as one text and told apart again."""
-        words, others = [c for c in chunks if c.isalpha()], [c for c in chunks if not c.isalpha()]
+        """Encode chunks. Letters alone are one word, and so are marks after them, so
+        such a chunk's ids are those of both; other chunks are encoded one by one."""
+        words, marked, others = set(), [], set()
+        for chunk in chunks:
+            core = chunk if chunk.isalpha() else chunk.rstrip(MARKS)
+            if not core.isalpha() or not (core.isascii() or normalize("NFC", core).lower().isalpha()):
+                others.add(chunk)
+                continue
+            words.add(core)
+            if len(core) < len(chunk):
+                marked.append((chunk, core, chunk[len(core) :]))
+                others.add(chunk[len(core) :])
+        self.learn_words([w for w in words if w not in self])
+        self.learn_others([c for c in others if c not in self])
+        self.update((chunk, self[core] + self[tail]) for chunk, core, tail in marked)
+
+    def learn_words(self, words: list[str]) -> None:
+        """A word ends in the one token that closes it, so many words are encoded as one
+        text and told apart again; should they not come out one by one, singly."""
         for at in range(0, len(words), 2_000):
             part = words[at : at + 2_000]
             ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -69,9 +88,11 @@ class Words(dict):
                 data, ends = ids.tobytes(), (4 * ends).tolist()
                 self.update(zip(part, map(data.__getitem__, map(slice, [0, *ends], ends)), strict=False))
             else:
-                others += part
-        for at in range(0, len(others), 10_000):
-            part = others[at : at + 10_000]
+                self.learn_others(part)
+
+    def learn_others(self, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), 10_000):
+            part = chunks[at : at + 10_000]
             found = self.library.encode_batch_fast(part, add_special_tokens=False)
             self.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
 
