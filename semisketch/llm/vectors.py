@@ -15,9 +15,11 @@ def usable(vector: Column) -> Column:
 
 
 def usable_rows(rows: DataFrame) -> DataFrame:
-    """``(vec_id, embedding)`` of the vectors that take part; ids are not null."""
+    """``(vec_id, embedding)`` of the vectors that take part; ids are not null. Single
+    precision components stay so, which halves what moves and loses nothing."""
+    kind = "array<float>" if "float" in rows.schema["embedding"].dataType.simpleString() else "array<double>"
     return rows.filter(F.col("vec_id").isNotNull() & F.coalesce(usable(F.col("embedding")), F.lit(False))).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")
     )
 
 
