@@ -279,3 +279,12 @@ def _rewritten(min_chars: int):
         return pd.DataFrame(done, columns=["kept", "n_dropped"])
 
     return rewrite
+
+
+def with_kept_lines(index: LineIndex, docs: DataFrame) -> DataFrame:
+    """Documents as they were, their texts cleaned and ``n_chars``, where there is such a
+    column, counted anew. A text of which no line is left is empty; a null stays null."""
+    rows = index.cleaned(docs)
+    text = F.when(F.col("row.text").isNull() & (F.col("kept") == ""), None).otherwise(F.col("kept"))
+    columns = [text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
+    return rows.select(*columns)

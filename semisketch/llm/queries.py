@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import ann, embedding_dedup, jaccard_join, license_scan, line_dedup, mixing, packing, sql, token_counts
+from . import ann, embedding_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, sql, token_counts, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,24 @@ def op4_ann(spark: SparkSession, folder: str) -> DataFrame:
 @register(sql.NEAR_VECTORS)
 def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@register()
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.train(docs, labels.filter(~toxicity.held_out()))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@register()
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language_id.identify(language_id.evidence_of_documents(docs), language_id.train(docs))
+
+
+@register()
+def language_id_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The same operator over web pages, with all its kinds of evidence."""
+    model = language_id.train(table(spark, folder, "documents"))
+    pages = language_id.evidence_of_pages(table(spark, folder, "pages"))
+    return language_id.identify(pages, model).withColumnRenamed("doc_id", "page_id")
