@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,18 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def slices(texts: list[str], size: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about so many characters; a longer text is a run of its own."""
+    at = now = 0
+    for n, text in enumerate(texts):
+        if now and now + len(text) > size:
+            yield at, n
+            at, now = n, 0
+        now += len(text)
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     if checkpoint_folder(df.sparkSession) is None:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 
 CAPACITY = 4096
 #: Closes every document.
@@ -98,7 +98,7 @@ class Words(dict):
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
-        for at, to in _slices(texts):
+        for at, to in slices(texts, SLICE):
             cut = [None if _ODD.search(t) else t.split() for t in texts[at:to]]
             distinct = set().union(*filter(None, cut))
             lacking = [c for c in distinct if c not in self]
@@ -114,18 +114,6 @@ class Words(dict):
                     yield b"".join(map(self.__getitem__, chunks))
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about SLICE characters, a longer text alone."""
-    at = size = 0
-    for n, text in enumerate(texts):
-        if size and size + len(text) > SLICE:
-            yield at, n
-            at, size = n, 0
-        size += len(text)
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Documents as pieces of at most ``capacity`` ids: ``doc_id, piece, start, length,
     ids_crc32`` and, if asked for, ``ids``.
