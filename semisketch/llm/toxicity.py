@@ -21,34 +21,40 @@ from pyspark.sql import functions as F
 
 #: Labelled documents of each class, by order of a hash, that training reads at most.
 TRAIN = 2_000
-#: Landmarks: words that tell the classes apart, and frequent words that do not.
-TELLING, PLAIN = 56, 8
+#: Landmarks: words that tell the classes apart, and their largest similarity.
+TELLING, ALIKE = 56, 0.85
 #: Largest step between characters of a subsequence, and what each character spanned costs.
 STEP, DECAY = 3, 0.6
 #: Similarities below it are no sign of anything and count as 0.
-LEAST = 0.5
-#: Words a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+LEAST = 0.62
+#: Pieces a worker remembers before it starts afresh.
+REMEMBERED = 700_000
 GAPS = [(a, b) for a in range(1, STEP + 1) for b in range(1, STEP + 1)]
 
 
-def words_of(text: str) -> set[str]:
-    """Distinct lower-case words, reduced to letters and digits; letters that stand
-    alone one after another are one word too (``s p a c e d``)."""
+def reduced(piece: str) -> str:
+    """A word's letters and digits."""
+    return piece if piece.isalnum() else "".join(c for c in piece if c.isalnum())
+
+
+def pieces_of(text: str) -> set[str]:
+    """Distinct lower-case pieces between blanks; letters that stand alone one after
+    another are a piece too (``s p a c e d``)."""
     pieces = text.lower().split()
-    found = {p if p.isalnum() else "".join(c for c in p if c.isalnum()) for p in set(pieces)}
-    run = ""
-    for piece in [*pieces, "  "] if any(len(p) == 1 for p in pieces) else ():
-        if len(piece) == 1:
-            run += piece if piece.isalnum() else ""
-        else:
-            if len(run) > 2:
-                found.add(run)
-            run = ""
-    found.discard("")
+    single = bytes([len(p) == 1 for p in pieces])
+    found, at = set(pieces), single.find(b"\1\1\1")
+    while at >= 0:
+        end = single.find(b"\0", at)
+        end = len(single) if end < 0 else end
+        found.add("".join(pieces[at:end]))
+        at = single.find(b"\1\1\1", end)
     return found
 
 
+def words_of(text: str) -> set[str]:
+    return {reduced(p) for p in pieces_of(text)} - {""}
+
+
 def _codes(word: str) -> np.ndarray:
     data = np.frombuffer(f"^{word}$".encode("utf-32-le", "surrogatepass"), np.uint32)
     return ((data * np.uint32(2654435761)) >> np.uint32(26)).astype(np.int64)
@@ -127,7 +133,7 @@ class Landmarks:
 
 
 class Reader:
-    """A worker's memory of words: those close to landmarks, and those that are not."""
+    """A worker's memory of pieces: those close to landmarks, and those that are not."""
 
     def __init__(self, landmarks: Landmarks):
         self.landmarks, self.near, self.known = landmarks, {}, set()
@@ -136,15 +142,17 @@ class Reader:
         """For each text and landmark, the largest similarity of a word."""
         out = np.zeros((len(texts), len(self.landmarks.words)))
         for at in range(0, len(texts), 200):
-            sets = [words_of(t) for t in texts[at : at + 200]]
+            sets = [pieces_of(t) for t in texts[at : at + 200]]
             new = set().union(*sets) - self.known
             if len(self.known) + len(new) > REMEMBERED:
                 self.near, self.known = {}, set()
                 new = set().union(*sets)
-            self.near.update(self.landmarks.close(list(new)))
+            words = {piece: reduced(piece) for piece in new}
+            close = self.landmarks.close(list(set(words.values())))
+            self.near.update((p, close[w]) for p, w in words.items() if w in close)
             self.known |= new
-            for n, words in enumerate(sets):
-                hits = [self.near[w] for w in words & self.near.keys()]
+            for n, pieces in enumerate(sets):
+                hits = [self.near[p] for p in pieces & self.near.keys()]
                 if hits:
                     out[at + n] = np.max(hits, axis=0)
         return out
@@ -154,8 +162,7 @@ class Reader:
 
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
-    """Words far more frequent in toxic texts, none too similar to another, and some
-    frequent words."""
+    """Words far more frequent in toxic texts, none too similar to another."""
     counts = [Counter(), Counter()]
     for text, label in zip(texts, toxic, strict=True):
         counts[int(label)].update(words_of(text))
@@ -166,12 +173,14 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
         return (p - q) / math.sqrt(p * (1 - p) / n[1] + q * (1 - q) / n[0])
 
     common = [w for w, c in counts[1].items() if c >= 2 and c * n[0] > 3 * (counts[0][w] + 0.5) * n[1]]
-    chosen = []
+    chosen: dict[str, tuple[dict[int, float], float]] = {}
     for word in sorted(common, key=lambda w: (-telling(w), w))[: 20 * TELLING]:
-        if len(chosen) < TELLING and all(Landmarks([c]).kernel(word)[0] < 0.85 for c in chosen[-TELLING:]):
-            chosen.append(word)
-    plain = sorted(counts[0].items(), key=lambda x: (-x[1], x[0]))
-    return chosen + [w for w, _ in plain if w not in chosen][:PLAIN]
+        own = subsequences(word)
+        norm = _norm(own)
+        alike = (sum(w * other.get(c, 0.0) for c, w in own.items()) / norm / n for other, n in chosen.values())
+        if len(chosen) < TELLING and all(k < ALIKE for k in alike):
+            chosen[word] = own, norm
+    return list(chosen)
 
 
 @dataclass
@@ -196,6 +205,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     if toxic.min(initial=1) == toxic.max(initial=0):
         return Model(Landmarks([]), np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, math.log((share + 1e-9) / (1 - share + 1e-9)))
     landmarks = Landmarks(choose_landmarks(texts, toxic))
+    if not landmarks.words:
+        return fit(texts, np.zeros_like(toxic), share)
     values = Reader(landmarks).values(texts)
     size, turn = np.linalg.eigh(landmarks.gram() / 2 + landmarks.gram().T / 2)
     whiten = turn / np.sqrt(np.maximum(size, 1e-2))
@@ -210,8 +221,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
-    real = np.where(toxic == 1, share / (toxic == 1).sum(), (1 - share) / (toxic == 0).sum())
     m = np.c_[x @ w, np.ones(len(x))]
+    real = np.where(toxic == 1, share / (toxic == 1).sum(), (1 - share) / (toxic == 0).sum())
     ab = np.zeros(2)
     for _ in range(50):  # Newton steps on the logistic loss of the margins
         p = 1 / (1 + np.exp(-np.clip(m @ ab, -30, 30)))
