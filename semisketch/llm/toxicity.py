@@ -26,7 +26,7 @@ TELLING, ALIKE = 56, 0.85
 #: Largest step between characters of a subsequence, and what each character spanned costs.
 STEP, DECAY = 3, 0.6
 #: Similarities below it are no sign of anything and count as 0.
-LEAST = 0.62
+LEAST = 0.5
 #: Pieces a worker remembers before it starts afresh.
 REMEMBERED = 700_000
 GAPS = [(a, b) for a in range(1, STEP + 1) for b in range(1, STEP + 1)]
