@@ -177,7 +177,8 @@ def _frequent(path: str):
                     if len(seen) > COUNTED:
                         seen = Counter(dict(seen.most_common(COUNTED // 4)))
         top = seen.most_common(PER_TASK)
-        yield pd.DataFrame({"piece": [p for p, _ in top], "n": [n for _, n in top]})
+        if top:
+            yield pd.DataFrame(top, columns=["piece", "n"])
 
     return report
 

@@ -202,7 +202,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
 
     Without texts of both classes every score is that share.
     """
-    if toxic.min(initial=1) == toxic.max(initial=0):
+    if len(set(toxic.tolist())) < 2:
         return Model(Landmarks([]), np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, math.log((share + 1e-9) / (1 - share + 1e-9)))
     landmarks = Landmarks(choose_landmarks(texts, toxic))
     if not landmarks.words:
