@@ -64,30 +64,29 @@ def schedule(
     their own. An empty table gives an empty one.
     """
     ticket = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # a key that is never null, so that sums within it and the join need one partitioning
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     rows = docs.select(
-        "doc_id", "source", n_words(F.col("text")).alias("size"), ticket.alias("ticket"),
+        "doc_id", key.alias("key"), n_words(F.col("text")).alias("size"), ticket.alias("ticket"),
         F.struct(*docs.columns).alias("row"),
     )
-    slim = stored(rows.select("source", "size", "ticket"))
-    per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = targets(per_source, weights, budget, most)
+    slim = stored(rows.select("key", "size", "ticket"))
+    per_source = slim.groupBy("key").agg(F.sum("size").alias("source_size"))
+    name = F.when(F.col("key") != "", F.substring("key", 2, 1 << 30))
+    goals = targets(per_source.withColumn("source", name), weights, budget, most)
+    goals = goals.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     buckets = max(16, -(-slim.count() // BUCKET_ROWS))
     place = F.conv(F.substring("ticket", 1, 8), 16, 10).cast("long")
     bucket = F.floor(place * buckets / 2**32).cast("long")
-    sums = slim.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sums = slim.groupBy("key", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
+    ahead = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("ahead", F.sum("words").over(ahead) - F.col("words"))
-    sums = sums.alias("s").join(goals.alias("g"), F.expr("s.source <=> g.source")).select(
-        "s.source", "s.bucket", "s.ahead", "g.source_size", "g.target"
-    )
+    sums = sums.join(goals, "key").select("key", "bucket", "ahead", "source_size", "target")
     rows = rows.withColumn("bucket", bucket)
-    inside = Window.partitionBy("source", "bucket").orderBy("ticket", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("key", "bucket").orderBy("ticket", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("within", F.sum("size").over(inside) - F.col("size"))
-    rows = rows.alias("r").join(
-        sums.alias("s"), F.expr("r.source <=> s.source and r.bucket = s.bucket")
-    ).select(
-        "r.row", "r.doc_id", "r.size", "s.source_size", "s.target",
-        (F.col("s.ahead") + F.col("r.within")).alias("before"),
+    rows = rows.join(sums, ["key", "bucket"]).select(
+        "row", "doc_id", "size", "source_size", "target", (F.col("ahead") + F.col("within")).alias("before"),
     )
     copies = sum(
         F.when(2 * (r * F.col("source_size") + F.col("before")) + F.col("size") <= 2 * F.col("target"), 1).otherwise(0)
