@@ -21,7 +21,7 @@ def parse_lengths(lengths) -> list[int]:
         lengths = re.split(r"[,\s]+", lengths)
     found = {int(x) for x in lengths if re.fullmatch(r"[0-9]+", str(x)) and int(x) > 1}
     if not found:
-        raise ValueError(f"cannot interpret fingerprint lengths in {lengths!r}")
+        raise ValueError(f"not a list of whole numbers above zero: {lengths!r}")
     return sorted(found)
 
 

@@ -48,7 +48,7 @@ def new_only(entries: DataFrame, index: DataFrame) -> DataFrame:
 def check_length(entries: DataFrame, length: int) -> DataFrame:
     """End the job at the first entry of another length."""
     wrong = F.raise_error(
-        F.concat(F.lit(f"incompatible fingerprint sizes: {length} and "), F.col("L").cast("string"))
+        F.concat(F.lit(f"the index takes vectors of length {length}, not "), F.col("L").cast("string"))
     )
     return entries.withColumn("L", F.when(F.col("L") == length, F.col("L")).otherwise(wrong.cast("int")))
 
@@ -67,7 +67,7 @@ def append_index(fps: DataFrame, path: str, length: int, normalize: bool = False
         stored = stored_index(spark, path)
         last = stored.agg(F.max("batch").alias("batch"), F.max("L").alias("L")).first()
         if last.L is not None and last.L != length:
-            raise ValueError(f"incompatible fingerprint sizes: {last.L} and {length}")
+            raise ValueError(f"the index takes vectors of length {last.L}, not {length}")
         batch = (last.batch or 0) + 1
         entries = new_only(entries, stored)
     # a batch directory beyond the last one can only be left from a failed attempt

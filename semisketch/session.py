@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+NO_FOLDER = "set spark.checkpoint.dir to a folder all executors share"
+
+
 def checkpoint_folder(spark: SparkSession) -> str | None:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -24,18 +27,17 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
-
-    Without such a folder the plan stays as it is and is computed again on use.
-    """
-    return df.checkpoint() if checkpoint_folder(df.sparkSession) else df
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    if checkpoint_folder(df.sparkSession) is None:
+        raise RuntimeError(NO_FOLDER)
+    return df.checkpoint()
 
 
 def scratch_folder(spark: SparkSession) -> str:
     """A new path in the shared folder, for files that a job writes and reads back."""
     folder = checkpoint_folder(spark)
     if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        raise RuntimeError(NO_FOLDER)
     return f"{folder.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 

@@ -42,20 +42,38 @@ def allow_duplicate_keys(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
-def parse_documents(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``body`` and ``reason`` (NULL, 'empty' or 'invalid') in place of ``text``."""
+#: Bytes up to which any JSON text fits a variant (128 MiB), however short its values.
+SURE_BYTES = 40 << 20
+
+
+def parse_documents(rows: DataFrame, text: str = "text", sure_bytes: int = SURE_BYTES) -> DataFrame:
+    """Adds ``body`` and ``reason`` in place of ``text``.
+
+    The reason is NULL, 'empty', 'invalid', or 'too large': no variant came out of a
+    text of more than ``sure_bytes``, which may be valid all the same.
+    """
     allow_duplicate_keys(rows.sparkSession)
     kept = [c for c in rows.columns if c != text]
 
     def judged(body):
-        reason = F.when(is_blank(F.col(text)), "empty").when(body.isNull(), "invalid")
+        large = F.octet_length(text) > sure_bytes
+        reason = (
+            F.when(is_blank(F.col(text)), "empty")
+            .when(body.isNull() & large, "too large")
+            .when(body.isNull(), "invalid")
+        )
         return F.struct(body.alias("body"), reason.alias("reason"))
 
     return computed_once(rows, kept, let(strict_json(F.col(text)), judged))
 
 
 def valid_docs(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("reason").isNull()).drop("reason")
+    """The documents without a reason against them; one that is too large ends the job."""
+    message = F.lit("a JSON text is too large for one variant: split it, or use one object a line")
+    kept = F.when(F.col("reason") == "too large", F.raise_error(message).cast("boolean")).otherwise(
+        F.col("reason").isNull()
+    )
+    return parsed.where(kept).drop("reason")
 
 
 def rejects(parsed: DataFrame) -> DataFrame:

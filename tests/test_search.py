@@ -104,12 +104,12 @@ def test_repeated_ids(spark):
 
 def test_lengths_do_not_mix(spark, fps, tmp_path):
     other = spark.createDataFrame([("x", [1.0, 2.0])], "doc_id string, fp array<double>")
-    with pytest.raises(ValueError, match="incompatible"):
+    with pytest.raises(ValueError, match="several lengths"):
         pairs(index_entries(fps), index_entries(other), 0.5)
     append_index(fps, str(tmp_path / "i"), 13)
-    with pytest.raises(ValueError, match="incompatible"):
+    with pytest.raises(ValueError, match="of length 13"):
         append_index(other, str(tmp_path / "i"), 2)
-    with pytest.raises(Exception, match="incompatible"):
+    with pytest.raises(Exception, match="of length"):
         append_index(other, str(tmp_path / "j"), 13)
 
 
@@ -156,3 +156,13 @@ def test_principal_components(spark, fps):
     v = v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(1)])[:, None]
     found = {r.doc_id: r.pc for r in pca_fp(fps).collect()}
     np.testing.assert_allclose([found[i] for i in IDS], z @ v[:2].T, atol=1e-6)
+
+
+def test_many_copies(spark):
+    same = spark.range(50_000).selectExpr(
+        "format_string('e%06d', id) AS doc_id", "array(1D, 3D, 2D, 4D) AS fp"
+    )
+    best = topk_pairs(index_entries(same), 50_000).collect()
+    assert len(best) == 50_000 and {r["corr"] for r in best} == {1.0}
+    twice = same.limit(600).selectExpr("'x' AS doc_id", "fp")
+    assert pairs(index_entries(twice), cutoff=0.9).count() == 600 * 599 // 2

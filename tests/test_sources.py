@@ -134,7 +134,7 @@ def test_fingerprint_text_round_trip(spark, docs, tmp_path):
     read = {r.doc_id: r for r in tables.read_fingerprints(spark, path, 7, 6).collect()}
     sevens = {r.doc_id: r.fp for r in fps.where("L = 7").collect()}
     assert {k: r.fp for k, r in read.items()} == sevens
-    with pytest.raises(Exception, match="not enough values for"):
+    with pytest.raises(Exception, match="fewer than 20 columns of values"):
         tables.read_fingerprints(spark, path, 20).collect()
 
 
@@ -167,3 +167,11 @@ def test_simplify_names(spark):
     assert simple("x/a/1.gz", "x/b/1.gz") == {"x/a/1.gz": "a", "x/b/1.gz": "b"}
     assert simple("x/a.b", "x/c.d") == {"x/a.b": "a.b", "x/c.d": "c.d"}
     assert simple("same/1", "same/1") == {"same/1": None}
+
+
+def test_a_text_too_large_for_a_variant_ends_the_job(spark):
+    rows = spark.createDataFrame([("a", '{"x":1}'), ("b", '{"x":1' + " " * 50), ("c", "{")], "doc_id string, text string")
+    parsed = dox.parse_documents(rows, sure_bytes=40)
+    assert {r.doc_id: r.reason for r in parsed.collect()} == {"a": None, "b": "too large", "c": "invalid"}
+    with pytest.raises(Exception, match="too large for one variant"):
+        dox.valid_docs(parsed).collect()
