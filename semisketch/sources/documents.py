@@ -152,26 +152,28 @@ def read_json_tree(spark: SparkSession, path) -> DataFrame:
     return valid_docs(parse_documents(whole_files(spark, path, "json", recursive=True)))
 
 
-def _whole_values(spark: SparkSession, path) -> DataFrame:
-    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
-    return valid_docs(parse_documents(text))
-
-
 def read_json_array(spark: SparkSession, path, id_field: str) -> DataFrame:
-    """Entities of files that each hold one array of objects."""
-    values = _whole_values(spark, path)
-    items = values.select(F.explode(F.col("body").try_cast("array<variant>")).alias("body"))
-    return entities(items, id_field)
+    """Entities of files that each hold one array of objects, however large."""
+    from .entity_files import parsed_entities
+
+    values = valid_docs(parsed_entities(spark, path, "["))
+    items = F.expr("slice(try_cast(body as array<variant>), 2, size(try_cast(body as array<variant>)))")
+    return entities(values.select(F.explode(items).alias("body")), id_field)
 
 
 def read_json_map(spark: SparkSession, path) -> DataFrame:
-    """Entities of files that each hold one object; its keys are the ids."""
-    values = _whole_values(spark, path)
+    """Entities of files that each hold one object, however large; its keys are the
+    ids, and of equal keys in a file the last one counts."""
+    from .entity_files import parsed_entities
+
+    values = valid_docs(parsed_entities(spark, path, "{"))
     pairs = values.select(
-        F.explode(F.col("body").try_cast("map<string,variant>")).alias("doc_id", "body")
+        "file", "no", F.explode(F.col("body").try_cast("map<string,variant>")).alias("doc_id", "body")
     )
-    pairs = pairs.where((F.col("doc_id") != "") & ~F.is_variant_null("body"))
-    return pairs.withColumn("doc_id", sanitize_id(F.col("doc_id")))
+    pairs = pairs.where(F.col("doc_id") != "")
+    last = pairs.groupBy("file", "doc_id").agg(F.max_by("body", "no").alias("body"))
+    last = last.where(~F.is_variant_null("body"))
+    return last.select(sanitize_id(F.col("doc_id")).alias("doc_id"), "body")
 
 
 def json_lines(lines: DataFrame, id_field: str) -> DataFrame:
