@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import ordinal_ranks, zscore
+from ..session import materialize
 
+#: Files up to which the table of their first positions is sent to every task.
+FEW_FILES = 100_000
 INDEX_SCHEMA = "id string, meta array<string>, L int, ranks array<int>, batch long"
 
 
@@ -39,10 +42,12 @@ def index_entries(fps: DataFrame, normalize: bool = False) -> DataFrame:
 def new_only(entries: DataFrame, index: DataFrame) -> DataFrame:
     """Entries whose id is not in the index yet.
 
-    The index side is cut to distinct ids first, so an id held many times adds
-    nothing to the join.
+    Of the index only ids that are among the entries reach the second join; where
+    the entries are small, the first one broadcasts them and moves nothing else.
     """
-    return entries.join(index.select("id").distinct(), "id", "left_anti")
+    wanted = entries.select("id").distinct()
+    held = index.select("id").join(wanted, "id", "left_semi").distinct()
+    return entries.join(held, "id", "left_anti")
 
 
 def check_length(entries: DataFrame, length: int) -> DataFrame:
@@ -59,7 +64,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def append_index(fps: DataFrame, path: str, length: int, normalize: bool = False) -> None:
-    """Add the entities that are new to the index at ``path``; create it if absent."""
+    """Add the entities that are new to the index at ``path``; create it if absent.
+
+    Nothing is written where the index has them all.
+    """
     spark = fps.sparkSession
     entries = check_length(index_entries(fps, normalize), length)
     batch = 1
@@ -69,7 +77,9 @@ def append_index(fps: DataFrame, path: str, length: int, normalize: bool = False
         if last.L is not None and last.L != length:
             raise ValueError(f"the index takes vectors of length {last.L}, not {length}")
         batch = (last.batch or 0) + 1
-        entries = new_only(entries, stored)
+        entries = materialize(new_only(materialize(entries), stored))
+        if entries.isEmpty():
+            return
     # a batch directory beyond the last one can only be left from a failed attempt
     entries.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
@@ -94,6 +104,9 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     starts = files.select(
         "batch", "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
     )
+    starts = materialize(starts)
+    if starts.count() <= FEW_FILES:
+        starts = F.broadcast(starts)
     return located.join(starts, ["batch", "file"]).select(
         (F.col("start") + F.col("row")).alias("pos"), "id", "meta", "L", "ranks"
     )
