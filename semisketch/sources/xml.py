@@ -18,17 +18,57 @@ from .documents import entities, whole_files
 
 # A private-use character put before every text, so that the parser takes none of
 # them for a number, a boolean or a null; it is taken out again afterwards.
-_MARK = ""
+_MARK = "\ue000"
+# Where the mark occurs in the data it is written as two characters, as is this one.
+_ESCAPE = "\ue001"
 
 _BROKEN = "_broken"
 _GUARD = {"columnNameOfCorruptRecord": _BROKEN, "mode": "PERMISSIVE"}
 _OPTIONS = {"attributePrefix": "", "valueTag": "content", "ignoreSurroundingSpaces": "false"}
 
 
+# Comments, instructions, literal sections, tags and the text between them.
+_LEXEMES = (
+    r"(?s)<!--.*?-->|<\?.*?\?>|<!\[CDATA\[.*?\]\]>"
+    r"|<[^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*>|[^<]+|<"
+)
+_UNUSUAL = r"""<[!?]|=\s*(?:"[^"<]*>|'[^'<]*>)"""
+
+
+def _plain(text: Column) -> Column:
+    """The same element without comments and instructions, with literal sections as
+    escaped text and no ``>`` inside attributes."""
+
+    def rewritten(part):
+        literal = F.substring(part, 10, F.length(part) - 12)
+        for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            literal = F.replace(literal, F.lit(char), F.lit(name))
+        return (
+            F.when(part.startswith("<!--") | part.startswith("<?"), "")
+            .when(part.startswith("<![CDATA[") & part.endswith("]]>"), literal)
+            .when(part.startswith("<"), F.regexp_replace(part, r">(?=[\s\S])", "&gt;"))
+            .otherwise(part)
+        )
+
+    parts = F.regexp_extract_all(text, F.lit(_LEXEMES), F.lit(0))
+    lexed = F.array_join(F.transform(parts, rewritten), "")
+    return F.when(text.rlike(_UNUSUAL), lexed).otherwise(text)
+
+
+def _escaped(text: Column) -> Column:
+    doubled = F.replace(text, F.lit(_ESCAPE), F.lit(f"{_ESCAPE}b"))
+    doubled = F.regexp_replace(doubled, "(?i)&#(?:x0*e001|0*57345);", f"{_ESCAPE}b")
+    return F.regexp_replace(doubled, f"(?i){_MARK}|&#(?:x0*e000|0*57344);", f"{_ESCAPE}a")
+
+
+def _unescaped(text: Column) -> Column:
+    single = F.replace(text, F.lit(f"{_ESCAPE}a"), F.lit(_MARK))
+    return F.replace(single, F.lit(f"{_ESCAPE}b"), F.lit(_ESCAPE))
+
+
 def xml_body(text: Column) -> Column:
     """VARIANT of one XML element, NULL if it cannot be parsed."""
-    bare = F.regexp_replace(text, r"(?s)<\?.*?\?>|<!--.*?-->", "")
-    marked = F.regexp_replace(bare, r"<([\w:.\-]+)((?:\s[^<>]*)?)/>", "<$1$2></$1>")
+    marked = F.regexp_replace(_escaped(_plain(text)), r"<([\w:.\-]+)((?:\s[^<>]*)?)/>", "<$1$2></$1>")
     marked = F.regexp_replace(marked, r"(<[\w:.\-]+(?:\s[^<>]*)?>)(</)", f"$1{_MARK}$2")
     marked = F.regexp_replace(marked, r">([^<]*[^<\s][^<]*)(?=<)", f">{_MARK}$1")
     marked = F.regexp_replace(marked, r"(\s[\w:.\-]+\s*=\s*[\"'])", f"$1{_MARK}")
@@ -44,7 +84,7 @@ def xml_body(text: Column) -> Column:
     json = F.regexp_replace(json, rf'"content":"{_MARK}{_MARK}?"', f'"{_MARK}":0')
     json = F.regexp_replace(json, rf'"{_MARK}{_MARK}?"(?!:)', "{}")
     json = F.regexp_replace(json, rf'"{_MARK}":0,|,?"{_MARK}":0', "")
-    return F.try_parse_json(F.translate(json, _MARK, ""))
+    return F.try_parse_json(_unescaped(F.translate(json, _MARK, "")))
 
 
 def read_xml_dir(spark: SparkSession, path, recursive: bool = False) -> DataFrame:

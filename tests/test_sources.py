@@ -109,6 +109,11 @@ def test_file_names_and_trees(spark, tmp_path):
         ("<r><n>007</n><t>true</t><z>0.0</z><d>2020-01-01</d></r>", {"n": "007", "t": "true", "z": "0.0", "d": "2020-01-01"}),
         ("<r><!-- <x/> --><p><s/></p><p/></r>", {"p": [{"s": {}}, {}]}),
         ("<r/>", {}), ("<r>just</r>", "just"), ("<r><a>", None),
+        ("<r><a><![CDATA[007]]></a><b><![CDATA[true]]></b></r>", {"a": "007", "b": "true"}),
+        ("<r><a><![CDATA[x <!-- kept --> & <b>]]></a><!-- <![CDATA[gone]]> --></r>", {"a": "x <!-- kept --> & <b>"}),
+        ("<r><a>1<![CDATA[2]]>3</a></r>", {"a": "123"}),
+        ("<r x='1>2'><a y=\"3>4\">007</a></r>", {"x": "1>2", "a": {"y": "3>4", "content": "007"}}),
+        ("<r><a>u\ue000v\ue001w&#xE000;</a><b>\ue001a</b></r>", {"a": "u\ue000v\ue001w\ue000", "b": "\ue001a"}),
     ],
 )
 def test_xml_bodies(spark, text, body):
