@@ -63,13 +63,20 @@ def read_json_dir(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _FOLDER_SQL = (
-    "select 'nation=' || s_nationkey as folder, 's' || s_suppkey as doc_id from supplier"
+    "select 'nation=' || s_nationkey as folder, t.* from supplier "
+    f"join ({orc.supplier_sql()}) t on t.doc_id = 's' || s_suppkey"
 )
 
 
 def _folders(docs: DataFrame) -> DataFrame:
+    """Statements of documents named by folder and own id."""
     own = tokens.sanitize_id(dox.field(F.col("body"), "id"))
-    return docs.select(F.substring_index("doc_id", "/", 1).alias("folder"), own.alias("doc_id"))
+    named = docs.select(
+        F.concat_ws("/", F.substring_index("doc_id", "/", 1), own).alias("doc_id"),
+        dox.drop_id_field(F.col("body"), "id").alias("body"),
+    )
+    folder, doc = (F.substring_index("doc_id", "/", i).alias(n) for i, n in ((1, "folder"), (-1, "doc_id")))
+    return _triple_rows(named).select(folder, doc, "name", "key", "cargo")
 
 
 @register(_FOLDER_SQL)
@@ -266,12 +273,12 @@ def write_triples(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@register("select cast(vec_id as varchar) as id, cast(1 as bigint) as held from embeddings")
+@register(_RANK_SQL)
 def append_index(spark: SparkSession, folder: str) -> DataFrame:
     path, fps = scratch_folder(spark), inp.embedding_fps(spark, folder)
     idx.append_index(fps.where(F.col("statements") == 0), path, 64)
     idx.append_index(fps, path, 64)
-    return idx.stored_index(spark, path).groupBy("id").agg(F.count("*").alias("held"))
+    return idx.stored_index(spark, path).select("id", F.posexplode("ranks").alias("i", "r"))
 
 
 def _entries(spark: SparkSession, folder: str) -> DataFrame:
@@ -551,25 +558,20 @@ _NUMBER_TOKENS = (
     f"select 'f' || {orc._number('round(l_extendedprice, 2)')} from lineitem union "
     f"select 'f' || {orc._number('l_discount')} from lineitem union select 'i' || c_custkey from customer"
 )
-_PLAIN_TOKENS = (
-    f"select 'f' || {orc._number('round(l_extendedprice, 2)')} as token from lineitem union "
-    f"select 'f' || {orc._number('l_discount')} from lineitem union select 'i' || c_custkey from customer"
-)
 
 
 def _float_token(x) -> F.Column:
     return F.concat(F.lit("f"), F.regexp_replace(F.round(x, 2).cast("string"), r"\.0$", ""))
 
 
-def _number_tokens(spark: SparkSession, folder: str, signed: bool = True) -> DataFrame:
+def _number_tokens(spark: SparkSession, folder: str) -> DataFrame:
     customer, lines = inp.table(spark, folder, "customer"), inp.table(spark, folder, "lineitem")
     some = [
         lines.select(_float_token(F.col("l_extendedprice")).alias("token")),
         lines.select(_float_token(F.col("l_discount")).alias("token")),
         customer.select(F.concat(F.lit("i"), "c_custkey").alias("token")),
+        customer.select(_float_token(F.col("c_acctbal") - 5000).alias("token")),
     ]
-    if signed:
-        some.append(customer.select(_float_token(F.col("c_acctbal") - 5000).alias("token")))
     out = some[0]
     for more in some[1:]:
         out = out.unionByName(more)
@@ -601,9 +603,9 @@ def vec_num_ml_v1(spark: SparkSession, folder: str) -> DataFrame:
     return _vector_cells(_number_tokens(spark, folder), numeric="ML", dialect="v1")
 
 
-@register(orc.token_sql(_PLAIN_TOKENS, numeric="smooth"))
+@register(orc.token_sql(_NUMBER_TOKENS, numeric="smooth"))
 def vec_num_smooth(spark: SparkSession, folder: str) -> DataFrame:
-    return _vector_cells(_number_tokens(spark, folder, signed=False), numeric="smooth")
+    return _vector_cells(_number_tokens(spark, folder), numeric="smooth")
 
 
 @register(orc.token_sql(_NUMBER_TOKENS, numeric="smooth", dialect="v1"))
@@ -802,13 +804,18 @@ def check_length(spark: SparkSession, folder: str) -> DataFrame:
     return idx.check_length(_entries(spark, folder), 64).select("id", "L")
 
 
-@register("select cast(vec_id as varchar) as q, cast(vec_id as varchar) as t, 1.0::double as corr from embeddings")
+@register(f"with {orc._SELF} select q, t, round(corr, 9) as corr from cp where corr >= {CUTOFF}")
 def pair_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs found between positions, by name."""
     index = idx.read_index(spark, _stored_index(spark, folder))
-    same = index.select(
-        F.col("pos").alias("q_pos"), F.col("pos").alias("t_pos"), F.lit(1.0).alias("corr")
+    # ids as positions of equal width, so that they sort like numbers
+    placed = index.select(F.lpad(F.col("pos").cast("string"), 18, "0").alias("id"), "ranks")
+    found = search.class_pairs(placed, cutoff=CUTOFF)
+    by_pos = found.select(
+        F.col("q").cast("long").alias("q_pos"), F.col("t").cast("long").alias("t_pos"), "corr"
     )
-    return search.pair_names(same, index)
+    named = search.pair_names(by_pos, index)
+    return _rounded(named.select(F.least("q", "t").alias("q"), F.greatest("q", "t").alias("t"), "corr"))
 
 
 _ROLES = " union all ".join(
@@ -844,9 +851,19 @@ def rank_fp(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.select(F.col("doc_id").alias("id"), F.posexplode("ranks").alias("i", "r"))
 
 
-@register("select cast(row_number() over () - 1 as bigint) as pos from embeddings")
+@register("select cast(vec_id as varchar) as id, label <> 0 as late, case when label = 0 then "
+          "row_number() over (partition by label = 0 order by vec_id) - 1 end as pos from embeddings")
 def index_pos(spark: SparkSession, folder: str) -> DataFrame:
-    return idx.read_index(spark, _stored_index(spark, folder)).select("pos")
+    """Positions over two loads: the first one in order, the second one behind it."""
+    path, fps = scratch_folder(spark), inp.embedding_fps(spark, folder)
+    first = _first_label(spark, folder).orderBy(F.col("doc_id").cast("long"))
+    idx.append_index(first, path, 64)
+    held = idx.stored_index(spark, path).count()
+    idx.append_index(fps, path, 64)
+    late = F.col("pos") >= held
+    return idx.read_index(spark, path).select(
+        "id", late.alias("late"), F.when(~late, F.col("pos")).alias("pos")
+    )
 
 
 # --- sorts and limits ---------------------------------------------------------
@@ -900,8 +917,9 @@ def stream_json_lines(spark: SparkSession, folder: str) -> DataFrame:
     return cells(spark.read.parquet(out), "fp", "doc_id")
 
 
-@register("select cast(vec_id as varchar) as id, cast(len(embedding) as int) as L from embeddings")
+@register(_RANK_SQL)
 def stream_index(spark: SparkSession, folder: str) -> DataFrame:
     index, log = scratch_folder(spark), scratch_folder(spark)
-    jobs.stream_index(spark, _collection(spark, folder), index, 64, log).awaitTermination()
-    return idx.stored_index(spark, index).select("id", "L")
+    lines = _collection(spark, folder, decimals=9)
+    jobs.stream_index(spark, lines, index, 64, log).awaitTermination()
+    return idx.stored_index(spark, index).select("id", F.posexplode("ranks").alias("i", "r"))

@@ -146,6 +146,10 @@ def vector_ctes(
     else:
         value = "case when k = 0 then o else o + lag(o) over (partition by token order by k) end"
         s = "r"
+    # v2 takes the least cell only up to the first that is exactly 0
+    least = "min(v)"
+    if numeric == "smooth" and dialect == "v2":
+        least = "case when arg_min(v, i) filter (where v <= 0) = 0 then 0 else min(v) end"
     strings = [
         f"select token, cast(o as int) % {length} as i, 1.0 as v from run where k = 0",
         f"select token, cast(floor({s}) as bigint) % {length} as i, 1 - ({s} - floor({s})) as v from run where k > 0",
@@ -167,7 +171,8 @@ cell as (select token, i, sum(v) as v from part group by token, i),
 grid as (select tn.token, g.i, coalesce(cell.v, 0) as v from tn
   cross join (select unnest(range({length})) as i) g
   left join cell on cell.token = tn.token and cell.i = g.i),
-low as (select token, min(v) as lo, sum(v) - {length} * min(v) as total from grid group by token),
+low as (select token, lo, whole - {length} * lo as total
+  from (select token, {least} as lo, sum(v) as whole from grid group by token)),
 vec as materialized (select grid.token, cast(grid.i as int) as i,
   case when total <> 0 then (v - lo) / total else v - lo end as v
   from grid join low on low.token = grid.token)"""

@@ -16,7 +16,8 @@ TABLES = (
 SAMPLE = [
     "read_xml_records", "append_index", "valid_docs", "triples", "set_triples", "token_dim",
     "vec_num_ml", "vec_str_decay", "fingerprint", "fingerprint_v1", "fingerprint_rows",
-    "corr_histogram", "pairs_cross", "topk_pairs",
+    "corr_histogram", "pairs_cross", "topk_pairs", "read_json_map", "read_xml_tree", "vec_num_smooth",
+    "index_pos", "pair_names", "stream_index",
 ]
 
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
