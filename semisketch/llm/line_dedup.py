@@ -2,14 +2,15 @@
 
 The exact tables are the truth: ``postings`` holds every (key, document), ``refs`` how
 many documents hold a key and the largest of them. Cuckoo filters, one per shard of
-the key space, hold the keys found in at least ``min_docs`` documents; they keep all
-other lines out of the join with ``refs``, and unlike Bloom filters forget a key when
-deletions bring it below the threshold.
+the key space, hold the keys found in at least ``min_docs`` documents. Lines meet the
+filter of their shard in one group, which keeps all others out of the join with
+``refs``; unlike Bloom filters these forget a key when deletions bring it below the
+threshold. Shards grow in number with the keys. The few keys that make up a large share
+of all postings are looked up by a broadcast of bounded size, so no shard is hot.
 """
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -17,15 +18,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, ascii_lower
+from ..functions.tokens import let
+from .common import BLANKS, ascii_lower, stored
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-#: Repeated keys that one shard's filter holds when the index is made.
+#: Repeated keys and postings that a shard has at most when its filters are dealt anew.
 SHARD_KEYS = 50_000
-#: Filters up to this size are sent to every task; larger ones are left aside and
-#: all lines take the exact join.
-FILTER_BYTES = 64 << 20
+SHARD_POSTINGS = 500_000
+#: A key with more than this share of all postings is hot; so there are at most as many.
+HOT_SHARE = 10_000
 SLOTS = 4
 KICKS = 500
 
@@ -123,17 +125,25 @@ def line_keys(text: Column, min_chars: int = MIN_CHARS) -> Column:
     return F.array_distinct(F.transform(long, lambda k: F.unhex(F.md5(k))))
 
 
-_LOWERED = str.maketrans(UPPER, LOWER)
+def long_lines(text: Column, min_chars: int = MIN_CHARS) -> Column:
+    """STRUCT(key, at) of the lines whose keys have at least ``min_chars`` code points."""
+    keys = F.transform(
+        F.split(F.coalesce(text, F.lit("")), "\n", -1),
+        lambda line, at: F.struct(line_key(line).alias("key"), at.alias("at")),
+    )
+    long = F.filter(keys, lambda x: F.length(x["key"]) >= min_chars)
+    return F.transform(long, lambda x: F.struct(F.unhex(F.md5(x["key"])).alias("key"), x["at"].alias("at")))
 
 
-def kept_text(text: str, drops: set, min_chars: int) -> tuple[str, int]:
-    """The text without the lines whose digest is in ``drops``, and how many went."""
-    kept, lines = [], text.split("\n")
-    for line in lines:
-        key = line.strip(BLANKS).translate(_LOWERED)
-        if len(key) < min_chars or hashlib.md5(key.encode()).digest() not in drops:
-            kept.append(line)
-    return "\n".join(kept), len(lines) - len(kept)
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines at the positions ``gone``; all of it where that is null."""
+    kept = let(
+        F.struct(F.split(text, "\n", -1).alias("lines"), gone.alias("gone")),
+        lambda s: F.transform(
+            F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), s["gone"]), lambda i: F.get(s["lines"], i)
+        ),
+    )
+    return F.when(gone.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
 # --- the index ------------------------------------------------------------------
@@ -194,35 +204,56 @@ class LineIndex:
             F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")
         )
         refs.write.parquet(step._path("refs"))
-        hot = lambda index: index._read(spark, "refs").filter(F.col("n_docs") >= self.min_docs).select("key")
-        if not step.shards:
-            step = replace(step, shards=max(16, -(-hot(step).count() // SHARD_KEYS)))
-        was, now = hot(self), hot(step)
-        changes = now.join(was, "key", "left_anti").withColumn("added", F.lit(True)).union(
-            was.join(now, "key", "left_anti").withColumn("added", F.lit(False))
-        ) if self.version else now.withColumn("added", F.lit(True))
-        shard = F.pmod(F.xxhash64("key"), F.lit(step.shards)).alias("shard")
-        changes = changes.select(shard, "key", "added")
+        held = lambda index: index._read(spark, "refs").filter(F.col("n_docs") >= self.min_docs).select("key")
+        was, now = held(self), held(step)
+        sizes = step._read(spark, "refs").agg(
+            F.sum("n_docs").alias("postings"), F.count_if(F.col("n_docs") >= self.min_docs).alias("keys")
+        ).first()
+        needed = max(-(-sizes["keys"] // SHARD_KEYS), -(-(sizes["postings"] or 0) // SHARD_POSTINGS))
+        fresh = needed > 2 * self.shards or not self.version
+        if fresh:
+            step = replace(step, shards=max(16, needed))
+        filters = self._read(spark, "filters")
+        changes = now.withColumn("added", F.lit(True))
+        if fresh:
+            filters = filters.limit(0)
+        else:
+            changes = now.join(was, "key", "left_anti").withColumn("added", F.lit(True)).union(
+                was.join(now, "key", "left_anti").withColumn("added", F.lit(False))
+            )
+        changes = changes.select(step._shard(), "key", "added")
         # a shard that overflows is refilled from the exact table, so a filter never lacks a key
-        changed = self._read(spark, "filters").groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(_updated, "shard long, bytes binary, full boolean")
+        changed = filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(_updated, "shard long, bytes binary, full boolean")
         changed.write.parquet(step._path("tried"))
         tried = spark.read.parquet(step._path("tried"))
         full = tried.filter("full").select("shard")
-        refilled = now.select(shard, "key").join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_refilled, "shard long, bytes binary")
+        refilled = now.select(step._shard(), "key").join(full, "shard", "left_semi").groupBy("shard").applyInPandas(_refilled, "shard long, bytes binary")
         tried.filter("not full").select("shard", "bytes").union(refilled).write.parquet(step._path("filters"))
         return step
 
+    def _shard(self) -> Column:
+        return F.pmod(F.xxhash64("key"), F.lit(self.shards)).alias("shard")
+
     def repeated(self, docs: DataFrame) -> DataFrame:
-        """``(doc_id, key)`` of the lines that have to go: held by enough documents, the
-        largest of which is another one."""
+        """``(doc_id, mark, key, at)`` of the lines that have to go: held by enough
+        documents, the largest of which is another one. ``mark`` tells texts of one id
+        apart, ``at`` is the line's number from 0."""
         spark = docs.sparkSession
-        lines = self.postings_of(docs)
-        filters = self._read(spark, "filters")
-        if (filters.agg(F.sum(F.length("bytes"))).first()[0] or 0) <= FILTER_BYTES:
-            tables = {r.shard: CuckooFilter.of_bytes(bytes(r.bytes)) for r in filters.collect()}
-            lines = lines.filter(_probe(tables)("key", F.pmod(F.xxhash64("key"), F.lit(self.shards))))
+        lines = docs.filter("doc_id is not null").select(
+            F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"),
+            F.inline(long_lines(F.col("text"), self.min_chars)),
+        )
         refs = self._read(spark, "refs").filter(F.col("n_docs") >= self.min_docs)
-        return lines.join(refs, "key").filter("doc_id < last_doc").select("doc_id", "key")
+        every = self._read(spark, "refs").agg(F.sum("n_docs")).first()[0] or 0
+        # at most HOT_SHARE keys can have more than that share of the postings
+        hot = refs.filter(F.col("n_docs") * HOT_SHARE > every).select("key", F.col("last_doc").alias("hot_doc"))
+        lines = stored(lines.join(F.broadcast(hot), "key", "left"))
+        found = lines.filter("hot_doc is not null and doc_id < hot_doc").select("doc_id", "mark", "key", "at")
+        others = lines.filter("hot_doc is null").select(self._shard(), "doc_id", "mark", "key", "at")
+        probed = self._read(spark, "filters").groupBy("shard").cogroup(others.groupBy("shard")).applyInPandas(
+            _probed, "doc_id long, mark long, key binary, at int"
+        )
+        return found.unionByName(probed.join(refs, "key").filter("doc_id < last_doc").select("doc_id", "mark", "key", "at"))
 
     def cleaned(self, docs: DataFrame) -> DataFrame:
         """Documents without their repeated lines: ``row, doc_id, n_lines, n_dropped, kept``.
@@ -230,13 +261,18 @@ class LineIndex:
         ``row`` is the struct of all columns of ``docs``. Rows without an id keep all
         lines; rows of one id are treated alike; a null text counts as one empty line.
         """
-        drops = self.repeated(docs).groupBy("doc_id").agg(F.collect_list("key").alias("drops"))
-        rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        rows = rows.join(drops, "doc_id", "left")
-        done = _rewritten(self.min_chars)("text", "drops")
-        return rows.select(
-            "row", "doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), done.alias("done"),
-        ).select("row", "doc_id", "n_lines", "done.n_dropped", "done.kept")
+        gone = self.repeated(docs).groupBy("doc_id", "mark").agg(F.collect_set("at").alias("gone"))
+        rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"))
+        text = F.coalesce(F.col("row.text"), F.lit(""))
+        return rows.join(gone, ["doc_id", "mark"], "left").select(
+            "row", "doc_id", F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"),
+            F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+            without_lines(text, F.col("gone")).alias("kept"),
+        )
+
+
+def _mark() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _updated(filters: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
@@ -258,27 +294,12 @@ def _refilled(keys: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"shard": [int(keys["shard"].iloc[0])], "bytes": [table.to_bytes()]})
 
 
-def _probe(tables: dict[int, CuckooFilter]):
-    @F.pandas_udf("boolean")
-    def probe(keys: pd.Series, shard: pd.Series) -> pd.Series:
-        found = np.zeros(len(keys), bool)
-        words, shard = words_of(keys), shard.to_numpy()
-        for s in np.unique(shard):
-            if int(s) in tables:
-                at = np.flatnonzero(shard == s)
-                found[at] = tables[int(s)].has(words[at])
-        return pd.Series(found)
-
-    return probe
-
-
-def _rewritten(min_chars: int):
-    @F.pandas_udf("kept string, n_dropped long")
-    def rewrite(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
-        done = [(t, 0) if d is None else kept_text(t, {bytes(k) for k in d}, min_chars) for t, d in zip(texts, drops, strict=True)]
-        return pd.DataFrame(done, columns=["kept", "n_dropped"])
-
-    return rewrite
+def _probed(filters: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+    """The lines of one shard that its filter has."""
+    found = np.zeros(len(lines), bool)
+    if len(filters) and len(lines):
+        found = CuckooFilter.of_bytes(filters["bytes"].iloc[0]).has(words_of(lines["key"]))
+    return lines.loc[found, ["doc_id", "mark", "key", "at"]]
 
 
 def with_kept_lines(index: LineIndex, docs: DataFrame) -> DataFrame:

@@ -71,11 +71,19 @@ def test_insertions_and_deletions_are_reversible(spark):
     assert cleaned(back, first) == cleaned(before, first) == sorted(brute(rows[:40]), key=repr)
 
 
-def test_filter_left_aside_changes_nothing(spark, monkeypatch):
-    rows = corpus(seed=2)
+def test_small_shards_and_hot_keys_change_nothing(spark, monkeypatch):
+    """Shards of few keys that are dealt anew as the index grows, and every key hot."""
+    rows = [r for r in corpus(n=200, seed=2) if r[0] is not None]
+    monkeypatch.setattr(ld, "SHARD_KEYS", 1)
+    monkeypatch.setattr(ld, "SHARD_POSTINGS", 10)
+    monkeypatch.setattr(ld, "HOT_SHARE", 1)
     docs = table(spark, rows)
-    monkeypatch.setattr(ld, "FILTER_BYTES", -1)
-    assert cleaned(index(spark).insert(docs), docs) == sorted(brute(rows), key=repr)
+    before = index(spark).insert(table(spark, rows[:20]))
+    after = before.insert(docs)
+    assert after.shards > 2 * before.shards
+    assert cleaned(after, docs) == sorted(brute(rows), key=repr)
+    monkeypatch.setattr(ld, "HOT_SHARE", 10**12)
+    assert cleaned(after, docs) == sorted(brute(rows), key=repr)
 
 
 def test_documents_keep_their_columns(spark):
