@@ -15,6 +15,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: A text's UTF-8 bytes with A-Z lower-cased, and the same with every other ASCII sign
+#: that is no letter or digit as a blank; ``bytes.split`` then cuts at ASCII blanks alone.
+LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+ALPHANUMERIC = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWERED)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -43,6 +49,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def text_bytes(text: Column) -> Column:
+    """A text as UTF-8 bytes, none for null."""
+    return F.coalesce(text, F.lit("")).cast("binary")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write rows as Parquet to the shared folder and read them back.
 

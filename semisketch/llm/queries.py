@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import ann, embedding_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, sql, token_counts, toxicity
+from . import ann, embedding_dedup, jaccard_join, language_id, lexical_search, license_scan, line_dedup, minhash, mixing, packing, resampling, sql, token_counts, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,18 @@ def language_id_pages(spark: SparkSession, folder: str) -> DataFrame:
     model = language_id.train(table(spark, folder, "documents"))
     pages = language_id.evidence_of_pages(table(spark, folder, "pages"))
     return language_id.identify(pages, model).withColumnRenamed("doc_id", "page_id")
+
+
+@register(sql.RANKED_SEARCH)
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@register(sql.RESAMPLING)
+def op12_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@register()
+def op13_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.edit_comparison(table(spark, folder, "documents"))

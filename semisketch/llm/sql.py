@@ -127,3 +127,65 @@ with recursive {USABLE}, links as (
 )
 select vec_id, n_links, component_id, vec_id = component_id as kept from found
 """
+
+TERM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+RANKED_SEARCH = f"""
+with terms as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {LOWERED}), {TERM})) as term from documents
+), wanted as (
+  select item_id, term, count(*) as times from (
+    select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {LOWERED}), {TERM})) as term from benchmark)
+  group by item_id, term
+), sizes as (select doc_id, count(*) as n from terms group by doc_id
+), totals as (select count(*) as n_docs, sum(n)::bigint as n_terms from sizes
+), counts as (
+  select doc_id, term, count(*) as tf from terms where term in (select term from wanted) group by doc_id, term
+), weights as (
+  select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint as w
+  from counts, totals group by term, n_docs
+), scored as (
+  select item_id, doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))))::bigint as score
+  from wanted join counts using (term) join weights using (term) join sizes using (doc_id), totals
+  group by item_id, doc_id
+), ranked as (
+  select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+  from scored where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
+# the checksum goes through a feature's bytes, eight steps each (its polynomial is a fixed value)
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint,
+    list_transform(range(1, length(hex(feature)), 2), lambda i: ('0x' || hex(feature)[i:i + 1])::bigint)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295)"""
+
+RESAMPLING = f"""
+with words as (
+  select true as own, doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWERED}), {TERM}) as w from documents
+  union all
+  select false, item_id, regexp_extract_all(translate(coalesce(text, ''), {LOWERED}), {TERM}) from benchmark
+), features as (
+  select own, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as feature from words
+), hashed as (
+  select feature, {_CRC} % 10000 as bucket from (select distinct feature from features)
+), counts as (
+  select bucket, count(*) filter (own) as s, count(*) filter (not own) as t from features join hashed using (feature) group by bucket
+), gains as (
+  select bucket, floor(1000 * ln((t + 1)::double * (sum(s) over () + 10000)::double
+                               / ((s + 1)::double * (sum(t) over () + 10000)::double)))::bigint as gain from counts
+), weights as (
+  select doc_id, floor(sum(gain)::double / count(*))::bigint as weight
+  from features join hashed using (feature) join gains using (bucket) where own group by doc_id
+), scored as (
+  select doc_id, len(w)::bigint as n_words, greatest(2 * len(w) - 1, 0)::bigint as n_features, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || doc_id), 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from words left join weights using (doc_id) where own
+), ranked as (
+  select doc_id, row_number() over (order by score desc, doc_id) as rank from scored where n_words >= 20
+)
+select doc_id, n_features, weight, score, case when rank <= (25 * (select count(*) from ranked)) // 100 then rank end as rank
+from scored left join ranked using (doc_id)
+"""
