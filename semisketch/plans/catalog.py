@@ -755,6 +755,30 @@ def corr_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("corr", F.round("corr", 2) + F.lit(0.0))
 
 
+#: Rows of a tile where a query has to fill many of them.
+SMALL_TILE = 128
+ORDER_CUTOFF = 0.99
+ORDER_K = 100_000
+
+
+def _order_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Rank vectors of the order documents; ranks of rounded cells, which do not hang on
+    the order in which they were summed."""
+    fps = fpr.fingerprint(inp.order_docs(spark, folder), L, decimals=None)
+    rounded = F.transform("fp", lambda x: F.round(x + 1e-9, 6))
+    return idx.index_entries(fps.select("doc_id", rounded.alias("fp")))
+
+
+@register(
+    f"with {orc.order_pairs(L)} select (cast(trunc(corr * 100 + 100) as int) - 100) / 100.0 + 0.0 as corr, "
+    "cast(sum(pairs) as bigint) as pairs from cp group by 1"
+)
+def corr_histogram_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Many tiles, some of whose pairs are counted by their sizes."""
+    found = search.corr_histogram(_order_entries(spark, folder), tile_rows=SMALL_TILE)
+    return found.withColumn("corr", F.round("corr", 2) + F.lit(0.0))
+
+
 # --- joins --------------------------------------------------------------------
 
 
@@ -767,6 +791,13 @@ def pairs_self(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(search.class_pairs(_entries(spark, folder), cutoff=0.1))
 
 
+@register(orc.pair_sql(orc.order_pairs(L), ORDER_CUTOFF))
+def pairs_self_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Many tiles, most of whose pairs the cutoff drops."""
+    found = search.class_pairs(_order_entries(spark, folder), cutoff=ORDER_CUTOFF, tile_rows=SMALL_TILE)
+    return _rounded(found)
+
+
 def _first_label(spark: SparkSession, folder: str) -> DataFrame:
     return inp.embedding_fps(spark, folder).where(F.col("statements") == 0)
 
@@ -885,6 +916,13 @@ def topk_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(search.topk_pairs(_entries(spark, folder), 500))
 
 
+@register(orc.order_topk_sql(L, ORDER_K))
+def topk_pairs_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """A large k over classes of many members: the best pairs by correlation."""
+    found = search.topk_pairs(_order_entries(spark, folder), ORDER_K)
+    return _rounded(found).groupBy("corr").agg(F.count("*").alias("pairs"))
+
+
 @register("select cast(event_id as varchar) as doc_id from events order by 1")
 def sorted_ids(spark: SparkSession, folder: str) -> DataFrame:
     return dox.sorted_ids(inp.event_docs(spark, folder)).select("doc_id")

@@ -282,6 +282,27 @@ def topk_sql(k: int) -> str:
     )
 
 
+def order_pairs(length: int) -> str:
+    """CTEs ending in cp(q, t, corr, pairs) for the fingerprints of the order documents."""
+    square = sum(i * i for i in range(length))
+    gap = f"(2 * {square} - 2 * list_inner_product(a.ranks, b.ranks))"
+    return f"""{fingerprint_ctes(order_statements(), length)},
+ork as (select doc_id, i, row_number() over (partition by doc_id order by round(v + 1e-9, 6), i) - 1 as r from fp),
+orv as (select doc_id, list(cast(r as double) order by i) as ranks from ork group by doc_id),
+cl as materialized (select ranks, min(doc_id) as rep, count(*) as n from orv group by ranks),
+cp as (select a.rep as q, b.rep as t, 1.0 - 6.0 * {gap} / ({length}.0 * ({length}.0 * {length}.0 - 1)) as corr,
+    a.n * b.n as pairs from cl a join cl b on a.rep < b.rep
+  union all select rep, rep, 1.0, n * (n - 1) // 2 from cl where n > 1)"""
+
+
+def order_topk_sql(length: int, k: int) -> str:
+    """How many of the k best pairs have each correlation."""
+    return f"""with {order_pairs(length)},
+levels as (select corr, cast(sum(pairs) as bigint) as pairs from cp group by corr),
+placed as (select corr, pairs, coalesce(sum(pairs) over (order by corr desc rows between unbounded preceding and 1 preceding), 0) as ahead from levels)
+select round(corr, 9) as corr, cast(least(pairs, {k} - ahead) as bigint) as pairs from placed where ahead < {k}"""
+
+
 # --- small statement sets --------------------------------------------------------
 
 

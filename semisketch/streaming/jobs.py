@@ -1,7 +1,7 @@
 """Structured Streaming jobs.
 
-A document is closed within its row, so streams need no state: the batch operators
-run on every micro-batch.
+A document is closed within its row, so fingerprint streams need no state: the batch
+operators run on every micro-batch.  An index stream keeps the ids it has seen.
 """
 
 from __future__ import annotations
@@ -28,6 +28,11 @@ def write_stream(fps: DataFrame, path: str, checkpoint: str, once: bool = True)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+#: Where the state of a stream is kept, unless the session names a provider: on disk.
+STATE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def stream_index(
     spark: SparkSession,
     folder: str,
@@ -39,15 +44,26 @@ def stream_index(
 ) -> StreamingQuery:
     """Keep a rank index up to date with fingerprint files arriving in ``folder``.
 
-    Only new ids are added, so a micro-batch that is run again after a failure adds
-    nothing twice.
+    Only new ids are added, the first row of each.  The ids that the stream has seen are
+    its keyed state, so a micro-batch does not search the batches that the stream wrote
+    before, after a restart neither; only batches of other writers are asked.  A
+    micro-batch that is run again after a failure is told by its number and adds nothing
+    twice.
     """
     lines = spark.readStream.text(folder).where(~F.col("value").startswith("#"))
     parts = lines.select(F.split("value", "\t").alias("parts"))
-    fps = slice_columns(parts, length, ignore_columns)
+    fps = slice_columns(parts, length, ignore_columns).dropDuplicates(["doc_id"])
 
-    def add(batch: DataFrame, _: int) -> None:
-        append_index(batch, index, length)
+    def add(batch: DataFrame, turn: int) -> None:
+        append_index(batch, index, length, writer=checkpoint, turn=turn)
 
     writer = fps.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    writer = writer.trigger(availableNow=True) if once else writer
+    if spark.conf.get(STATE, None) is not None:
+        return writer.start()
+    # a query keeps the settings that it was started with
+    spark.conf.set(STATE, ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.unset(STATE)

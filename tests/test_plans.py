@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from semisketch.operators.fingerprint import fingerprint
-from semisketch.operators.search import Layout
+from semisketch.operators.search import Tree
 from semisketch.operators.structure import triples
 
 
@@ -25,11 +25,12 @@ def test_triples_do_not_shuffle(docs):
 
 
 def test_crowded_cells_are_split(spark):
+    """Where a pivot does not make a node smaller, it is cut by hash."""
     rows = [(list(p), f"{i}", 1) for i, p in enumerate(_permutations(300))]
     found = spark.createDataFrame(rows, "ranks array<int>, rep string, members long")
-    layout = Layout(found, [rows[0][0]], 50)
-    sizes = [r.n for r in layout.tiles.select(F.size("block").alias("n")).collect()]
-    assert sum(sizes) == 300 and len(sizes) == 6 and max(sizes) < 100
+    tree = Tree(found, 300, 50, fan=1)
+    sizes = [r["count"] for r in tree.rows.groupBy("tile").count().collect()]
+    assert sum(sizes) == 300 and len(sizes) == tree.tiles == 6 and max(sizes) < 100
 
 
 def _permutations(n):

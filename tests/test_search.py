@@ -1,12 +1,16 @@
 import itertools
 import random
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
 
+from semisketch.operators import commits, search
+from semisketch.operators import index as idx
 from semisketch.operators.analysis import pca_fp
 from semisketch.operators.index import append_index, index_entries, read_index, stored_index
+from semisketch.operators.order import numbered
 from semisketch.operators.search import class_pairs, corr_histogram, pairs, query_raw, topk_pairs
 from semisketch.streaming import jobs
 
@@ -95,6 +99,89 @@ def test_top_pairs(fps, k):
     assert sorted((c for _, _, c in found), reverse=True) == best
 
 
+def test_top_pairs_of_two_sets(fps):
+    target = index_entries(fps)
+    found = rounded(topk_pairs(target.where("id < 'e020'"), 700, target, tile_rows=16))
+    everything = brute(-1.0, range(20), False)
+    assert len(set(found)) == 700 and set(found) <= set(everything)
+    assert sorted(c for *_, c in found) == sorted(c for *_, c in everything)[-700:]
+
+
+# --- the pivot tree -----------------------------------------------------------
+
+
+def shuffled(n, length, base, swaps, rng):
+    """Orders near a base: a few neighbours change places."""
+    for _ in range(n):
+        ranks = list(base)
+        for _ in range(rng.randrange(swaps + 1)):
+            i = rng.randrange(length - 1)
+            ranks[i], ranks[i + 1] = ranks[i + 1], ranks[i]
+        yield ranks
+
+
+def entries_of(spark, ranks):
+    rows = [(f"r{i:05d}", [], len(r), r) for i, r in enumerate(ranks)]
+    return spark.createDataFrame(rows, "id string, meta array<string>, L int, ranks array<int>")
+
+
+@pytest.fixture(scope="module")
+def clustered(spark):
+    """One close group with most of the vectors, and others far and wide."""
+    rng = random.Random(5)
+    dense = list(shuffled(600, 40, range(40), 3, rng))
+    wide = [rng.sample(range(40), 40) for _ in range(70)]
+    return entries_of(spark, dense + wide + dense[:50])
+
+
+@pytest.mark.parametrize("pivots, nodes", [(search.FEW_PIVOTS, search.FEW_NODES), (0, 0)])
+def test_deep_trees_change_nothing(spark, fps, monkeypatch, pivots, nodes):
+    """Several levels of few pivots, tables sent to every task or joined."""
+    monkeypatch.setattr(search, "FEW_PIVOTS", pivots)
+    monkeypatch.setattr(search, "FEW_NODES", nodes)
+    monkeypatch.setattr(search, "GROUP_ROWS", 20)
+    entries = index_entries(fps)
+    found = search.Search(entries, None, 4, fan=3)
+    assert found.left.depth > 2
+    nodes_of = {r.path: r for r in found.left.nodes.collect()}
+    assert all(r.radius <= search.FARTHEST and r.leaf == (r.first is not None) for r in nodes_of.values())
+    assert sum(r.members for r in nodes_of.values() if r.leaf) == len(IDS)
+    hits = found.hits(0.6)
+    assert hits.agg({"pairs": "sum"}).first()[0] == len(brute(0.6))
+    cross = search.Search(entries.where("id < 'e040'"), entries, 4, fan=3).hits(0.6)
+    assert cross.agg({"pairs": "sum"}).first()[0] == len(brute(0.6, range(40), False))
+
+
+def test_pruned_and_full_counts_agree(clustered):
+    found = search.Search(clustered, None, 8, fan=8)
+    bins = lambda settle: {r.bin: r.n for r in found.bins(settle=settle).groupBy("bin").agg({"pairs": "sum"}).toDF("bin", "n").collect() if r.n}
+    full = bins(False)
+    assert bins(True) == full and sum(full.values()) == 720 * 719 // 2
+    products, counted = found.tile_pairs(settle=True)
+    every = found.left.tiles * (found.left.tiles + 1) // 2
+    assert found.tile_pairs()[0].count() == every
+    assert products.count() < every / 2 and counted.count() > 0
+
+
+def test_blocks_are_sent_to_few_strips(spark):
+    rng = random.Random(6)
+    found = search.Search(entries_of(spark, [rng.sample(range(20), 20) for _ in range(1_500)]), None, 16, fan=16)
+    tiles = found.left.tiles
+    sent = found.strips(found.tile_pairs()[0]).blocks.count()
+    assert tiles > 90 and sent / 1_500 <= np.ceil(np.log2(tiles))
+    near = found.strips(found.tile_pairs(0.999)[0]).blocks.count()
+    assert near <= sent
+
+
+def test_numbers_in_order(spark):
+    rows = spark.range(500).selectExpr("id % 37 AS k", "id AS v", "id % 3 AS w").repartition(7)
+    got = sorted((r.k, r.v, r.w, r.pos) for r in numbered(rows, ["k", "v"], part_rows=60).collect())
+    assert [g[3] for g in got] == list(range(500))
+    got = sorted((r.k, r.v, r.w, r.pos) for r in numbered(rows, ["k", "v"], weight="w", part_rows=60).collect())
+    assert [g[3] for g in got] == [0, *itertools.accumulate(g[2] for g in got)][:-1]
+    assert numbered(rows.limit(0), ["k"]).collect() == []
+
+
 def test_repeated_ids(spark):
     rows = [("a", [1.0, 2.0, 3.0])] * 3 + [("b", [1.0, 2.0, 3.0]), ("a", [3.0, 2.0, 1.0])]
     entries = index_entries(spark.createDataFrame(rows, "doc_id string, fp array<double>"))
@@ -123,6 +210,79 @@ def test_index_grows_by_new_ids(spark, fps, tmp_path):
     assert all(after[p] == i for p, i in before.items())
 
 
+def ids_of(spark, path):
+    return sorted(r.id for r in stored_index(spark, path).collect())
+
+
+def test_two_writers(spark, fps, tmp_path, monkeypatch):
+    """A batch that loses the race leaves out what the other one brought."""
+    path, put = str(tmp_path / "i"), commits.Commits.put
+    append_index(fps.where("doc_id < 'e020'"), path, 13)
+
+    def slow(self, batch, known):
+        monkeypatch.setattr(commits.Commits, "put", put)
+        append_index(fps.where("doc_id < 'e100'"), path, 13)
+        return put(self, batch, known)
+
+    monkeypatch.setattr(commits.Commits, "put", slow)
+    append_index(fps.where("doc_id >= 'e050'"), path, 13)
+    assert ids_of(spark, path) == IDS
+    assert [b["number"] for b in commits.Commits(spark, path).batches()] == [1, 2, 3]
+    assert sorted(r.pos for r in read_index(spark, path).collect()) == list(range(160))
+
+
+def test_threads_that_append(spark, fps, tmp_path):
+    path = str(tmp_path / "i")
+    parts = [fps.where(f"doc_id between 'e{lo:03d}' and 'e{lo + 79:03d}'") for lo in (0, 40, 80)]
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda part: append_index(part, path, 13), parts))
+    assert ids_of(spark, path) == IDS
+
+
+def test_failed_append_is_not_seen(spark, fps, tmp_path, monkeypatch):
+    path = str(tmp_path / "i")
+    append_index(fps.where("doc_id < 'e020'"), path, 13)
+    with monkeypatch.context() as patch:
+        patch.setattr(commits.Commits, "put", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            append_index(fps, path, 13)
+    assert ids_of(spark, path) == IDS[:20]
+    append_index(fps, path, 13)
+    assert ids_of(spark, path) == IDS
+
+
+def test_history_of_many_batches(spark, fps, tmp_path, monkeypatch):
+    monkeypatch.setattr(commits, "FULL_EVERY", 3)
+    path = str(tmp_path / "i")
+    for i in range(0, 50, 10):
+        append_index(fps.where(f"doc_id between 'e{i:03d}' and 'e{i + 9:03d}'"), path, 13)
+    held = commits.Commits(spark, path)
+    assert [(b["number"], b["start"]) for b in held.batches()] == [(i + 1, 10 * i) for i in range(5)]
+    asked = []
+    monkeypatch.setattr(commits.Commits, "_read", lambda self, n, read=commits.Commits._read: asked.append(n) or read(self, n))
+    assert len(held.batches()) == 5 and asked == [[3, 4, 5]]
+
+
+def test_files_without_hits_are_not_read(spark, fps, tmp_path, monkeypatch):
+    path = str(tmp_path / "i")
+    even = fps.where("cast(substr(doc_id, 2) as int) % 2 = 0")
+    append_index(even, path, 13)
+    append_index(fps.where("doc_id > 'e080'"), path, 13)
+    batches = commits.Commits(spark, path).batches()
+    asked = lambda *ids: idx.files_with(spark.createDataFrame([(i,) for i in ids], "id string"), path, batches)
+    assert all(batches[1]["folder"] in f for f in asked("e099")) and asked("e099")
+    assert all(batches[0]["folder"] in f for f in asked("e004"))
+    assert asked("zzz") == [] and asked("a", None) == []
+    wrong = [f for i in range(1, 80, 2) for f in asked(f"e{i:03d}")]
+    assert len(wrong) <= 4
+    # entries that no file can hold are added without reading one
+    monkeypatch.setattr(idx, "new_only", lambda entries, index, plain=idx.new_only: plain(entries, index) if not index.inputFiles() else 1 / 0)
+    append_index(spark.createDataFrame([("zzz", [float(i) for i in range(13)])], "doc_id string, fp array<double>"), path, 13)
+    assert "zzz" in ids_of(spark, path)
+    monkeypatch.setattr(idx, "FEW_IDS", 1)
+    assert asked("e004", "e005") is None
+
+
 def test_streams(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
@@ -147,6 +307,18 @@ def test_index_stream(spark, tmp_path):
     jobs.stream_index(spark, str(source), index, 2, log).awaitTermination()
     found = sorted((r.id, r.meta, r.ranks) for r in stored_index(spark, index).collect())
     assert found == [("a", ["3"], [0, 1]), ("b", ["4"], [1, 0]), ("c", ["4"], [1, 0])]
+    # another writer's ids, a repeated file and ids seen long ago
+    append_index(spark.createDataFrame([("d", [5.0, 1.0])], "doc_id string, fp array<double>"), index, 2)
+    (source / "c.tsv").write_text("# head\na\t3\t1.0\t2.0\nb\t4\t2.0\t1.0\n")
+    (source / "d.tsv").write_text("d\t1\t1.0\t2.0\ne\t1\t1.0\t2.0\ne\t1\t1.0\t2.0\n")
+    jobs.stream_index(spark, str(source), index, 2, log).awaitTermination()
+    assert ids_of(spark, index) == ["a", "b", "c", "d", "e"]
+    batches = commits.Commits(spark, index).batches()
+    assert [b["writer"] for b in batches] == [log, log, None, log]
+    # a micro-batch that comes again under its number adds nothing
+    again = spark.createDataFrame([("x", [5.0, 1.0])], "doc_id string, fp array<double>")
+    append_index(again, index, 2, writer=log, turn=batches[-1]["turn"])
+    assert len(commits.Commits(spark, index).batches()) == len(batches)
 
 
 def test_principal_components(spark, fps):
