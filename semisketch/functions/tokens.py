@@ -57,9 +57,34 @@ def token_text(token: Column) -> Column:
     return F.when(token_type(token) != UNDEFINED, token.substr(F.lit(2), F.length(token)))
 
 
-def quoted(token: Column) -> Column:
+# Characters of quoted text that are escaped, and their escapes.
+_ESCAPES = (('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
+
+
+def escaped(text: Column) -> Column:
+    """Text without quotes, tabs or line ends of its own."""
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for char, escape in _ESCAPES:
+        out = F.replace(out, F.lit(char), F.lit(escape))
+    return out
+
+
+def unescaped(text: Column) -> Column:
+    """The text that ``escaped`` was given."""
+
+    def plain(part):
+        for char, escape in _ESCAPES:
+            part = F.replace(part, F.lit(escape), F.lit(char))
+        return part
+
+    # between two escaped backslashes no backslash stands for itself
+    return F.array_join(F.transform(F.split(text, r"\\\\", -1), plain), "\\")
+
+
+def quoted(token: Column, lossless: bool = False) -> Column:
     """Triple-file form: whole numbers and booleans bare, all else in quotes."""
     kind, text = token_type(token), token.substr(F.lit(2), F.length(token))
+    text = escaped(text) if lossless else text
     return (
         F.when(kind == "i", text)
         .when(kind == "b", F.initcap(text))

@@ -39,12 +39,15 @@ def fingerprint(
     exclude_keys=(),
     normalize: bool = False,
     decimals: int | None = 3,
+    side_by_side: bool = False,
 ) -> DataFrame:
     """``docs(doc_id, body)`` to ``(doc_id, L, statements, fp)``.
 
     One output row per input row and length; rows are independent of each other,
     so repeated ids stay apart and no data moves between partitions.  Under v2,
-    documents without statements are left out.
+    documents without statements are left out.  With ``side_by_side``, one output row
+    per input row, ``(doc_id, statements, fp)`` with the vectors of all lengths behind
+    each other, ascending.
     """
     shape = Shape(
         dialect=dialect,
@@ -60,10 +63,14 @@ def fingerprint(
         exponent_weight=exponent_weight,
         combine=combine or ("average" if dialect == "v1" else "product"),
     )
-    out = _summed(docs, parse_lengths(lengths), shape, encoding)
+    lengths = parse_lengths(lengths)
+    sums = _sums(docs, lengths, shape, encoding)
     if dialect == "v2":
-        out = nonempty_fp(out)
-    return finish(out, dialect, normalize, decimals)
+        sums = nonempty_fp(sums)
+    if side_by_side:
+        vectors = F.transform("sums", lambda v: arrays.zscore(v, dialect)) if normalize else F.col("sums")
+        return finish(sums.select("doc_id", "statements", F.flatten(vectors).alias("fp")), dialect, False, decimals)
+    return finish(_by_length(sums, lengths), dialect, normalize, decimals)
 
 
 def fingerprint_rows(docs: DataFrame, length: int = 50, decimals: int | None = 3) -> DataFrame:
@@ -77,13 +84,20 @@ def fingerprint_rows(docs: DataFrame, length: int = 50, decimals: int | None = 3
 
 
 def _summed(docs: DataFrame, lengths: list[int], shape: Shape, encoding: Encoding) -> DataFrame:
+    return _by_length(_sums(docs, lengths, shape, encoding), lengths)
+
+
+def _sums(docs: DataFrame, lengths: list[int], shape: Shape, encoding: Encoding) -> DataFrame:
     found = statements(containers(shape), shape)
     rows = computed_once(docs, ["doc_id"], F.struct(vector_parts(found).alias("parts")))
-    sums = rows.select(
+    return rows.select(
         "doc_id",
         F.size("parts").cast("long").alias("statements"),
         statement_sum(F.col("parts"), lengths, encoding).alias("sums"),
     )
+
+
+def _by_length(sums: DataFrame, lengths: list[int]) -> DataFrame:
     pairs = F.arrays_zip(F.array(*map(F.lit, lengths)).alias("L"), F.col("sums").alias("fp"))
     sums = sums.select("doc_id", "statements", F.inline(pairs).alias("L", "fp"))
     return sums.select("doc_id", "L", "statements", "fp")

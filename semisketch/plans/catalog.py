@@ -273,6 +273,18 @@ def write_triples(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register("select 'root' as name, 'text' as key, md5(text) as cargo from documents where text <> '' union all "
+          "select 'root', 'doc', md5('d' || doc_id) from documents")
+def read_triples_lossless(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with quotes, tabs and line ends, written and read back."""
+    rows = inp.table(spark, folder, "documents").where("doc_id is not null")
+    body = F.to_json(F.struct(F.concat(F.lit("d"), "doc_id").alias("doc"), F.when(F.col("text") != "", F.col("text")).alias("text")))
+    docs = dox.documents_from(rows.select("doc_id", body.alias("text")), "doc_id", "text")
+    path = scratch_folder(spark)
+    sinks.write_triples(st.triples(docs), path, lossless=True)
+    return tab.read_triples(spark, path, lossless=True).withColumn("cargo", F.md5("cargo"))
+
+
 @register(_RANK_SQL)
 def append_index(spark: SparkSession, folder: str) -> DataFrame:
     path, fps = scratch_folder(spark), inp.embedding_fps(spark, folder)
@@ -379,6 +391,53 @@ def valid_docs(spark: SparkSession, folder: str) -> DataFrame:
     return dox.rejects(parsed).unionByName(good)
 
 
+def _spoilt_case(key: str, cases: dict[int, str]) -> str:
+    listed = " ".join(f"when {n} then '{reason}'" for n, reason in cases.items())
+    return f"case {key} % 5 {listed} end as reason"
+
+
+def _told(found: dox.Checked, key) -> DataFrame:
+    """Documents and rejects by the key in their content."""
+    good = found.docs.select(dox.field(F.col("body"), "key").alias("doc_id"), F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(found.rejects.select(key.alias("doc_id"), "reason"))
+
+
+@register("select cast(o_orderkey as varchar) as doc_id, "
+          f"{_spoilt_case('o_orderkey', {1: 'invalid', 2: 'no id', 3: 'invalid'})} from orders")
+def valid_docs_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines cut short, without an id or of no JSON at all, told by their reasons."""
+    orders = inp.table(spark, folder, "orders").select(F.col("o_orderkey").alias("n"), F.concat(F.lit('"key":"'), "o_orderkey", F.lit('"')).alias("key"))
+    case, name = F.col("n") % 5, F.concat(F.lit('"id":"'), "n", F.lit('"'))
+    line = (
+        F.when(case == 1, F.concat(F.lit("{"), "key", F.lit(","), name))
+        .when(case == 2, F.concat(F.lit("{"), "key", F.lit("}")))
+        .when(case == 3, F.concat(F.lit("no JSON "), "key"))
+        .otherwise(F.concat(F.lit("{"), name, F.lit(","), "key", F.lit("},")))
+    )
+    path = scratch_folder(spark)
+    orders.select(line.alias("value")).write.text(path)
+    return _told(dox.check_json_lines(spark, path, "id"), F.regexp_extract("text", '"key":"([^"]*)"', 1))
+
+
+@register("select cast(o_orderkey as varchar) as doc_id, "
+          f"{_spoilt_case('o_orderkey', {1: 'invalid', 2: 'no id'})} from orders")
+def valid_docs_xml(spark: SparkSession, folder: str) -> DataFrame:
+    """XML records with elements that do not close, without an id, with records of the
+    same name inside and with closing tags that are text."""
+    orders = inp.table(spark, folder, "orders").select(F.col("o_orderkey").alias("n"), F.concat(F.lit("<key>"), "o_orderkey", F.lit("</key>")).alias("key"))
+    case, name = F.col("n") % 5, F.concat(F.lit("<id>"), "n", F.lit("</id>"))
+    inner = (
+        F.when(case == 1, F.concat(name, "key", F.lit("<open>")))
+        .when(case == 2, F.col("key"))
+        .when(case == 3, F.concat(name, "key", F.lit("<order note='a > b'><order/></order>")))
+        .otherwise(F.concat(name, "key", F.lit("<note><![CDATA[</order> <order>]]></note><!-- <order> -->")))
+    )
+    path = scratch_folder(spark)
+    record = F.concat(F.lit("<order>"), inner, F.lit("</order>"))
+    orders.select(record.alias("value")).write.text(path)
+    return _told(xml.check_xml_records(spark, path, "order", "id"), F.regexp_extract("text", "<key>([^<]*)<", 1))
+
+
 @register("select cast(event_id as varchar) as doc_id from events where event_type <> 'error'")
 def require_id(spark: SparkSession, folder: str) -> DataFrame:
     events = inp.table(spark, folder, "events")
@@ -441,12 +500,37 @@ def nodes(spark: SparkSession, folder: str) -> DataFrame:
 _LINE_DOC = "l_orderkey || '-' || l_linenumber as doc_id"
 
 
-@register(f"select {_LINE_DOC}, 'root' as name, 'ship' as key, '1' as cargo from lineitem union all "
-          f"select {_LINE_DOC}, 'ship' as name, 'date' as key, strftime(l_shipdate, '%Y-%m-%d') as cargo from lineitem")
+def _line_statements() -> str:
+    """All statements of the line items; zeros are none in objects, and items in arrays."""
+    number = lambda c: orc._number(f"cast({c} as double)")
+    counted = lambda *columns: " + ".join(f"cast({c} <> 0 as int)" for c in columns)
+    rows = [
+        ("'root'", "'part'", f"nullif(cast({counted('l_partkey', 'l_suppkey')} as varchar), '0')", "true"),
+        ("'part'", "'l_partkey'", "cast(l_partkey as varchar)", "l_partkey <> 0"),
+        ("'part'", "'l_suppkey'", "cast(l_suppkey as varchar)", "l_suppkey <> 0"),
+        ("'root'", "'price'", f"cast(1 + {counted('l_quantity', 'l_extendedprice')} as varchar)", "true"),
+        ("'price'", "'l_quantity'", number("l_quantity"), "l_quantity <> 0"),
+        ("'price'", "'l_extendedprice'", number("l_extendedprice"), "l_extendedprice <> 0"),
+        ("'price'", "'rates'", "'2'", "true"),
+        ("'rates'", "'0'", number("l_discount"), "true"),
+        ("'rates'", number("l_discount"), number("l_tax"), "true"),
+        ("'rates'", number("l_tax"), "'2'", "true"),
+        ("'root'", "'flags'", "'2'", "true"),
+        ("'flags'", "'0'", "l_returnflag", "true"),
+        ("'flags'", "l_returnflag", "l_linestatus", "true"),
+        ("'flags'", "l_linestatus", "'2'", "true"),
+        ("'root'", "'ship'", "'1'", "true"),
+        ("'ship'", "'date'", "strftime(l_shipdate, '%Y-%m-%d')", "true"),
+    ]
+    return " union all ".join(
+        f"select {_LINE_DOC}, {n} as name, {k} as key, {c} as cargo from lineitem where {when}" for n, k, c, when in rows
+    )
+
+
+@register(_line_statements())
 def flatten_singletons(spark: SparkSession, folder: str) -> DataFrame:
     rows = st.triple_text(st.triples(inp.lineitem_docs(spark, folder)))
-    ship = (F.col("name") == "ship") | (F.col("key") == "ship")
-    return rows.where(ship).select("doc_id", "name", "key", "cargo")
+    return rows.select("doc_id", "name", "key", "cargo")
 
 
 @register(f"with {orc._ORDER} select doc_id, '' as path, 'o' as kind, 6 + cast(cust <> 0 as int) as children from o "
@@ -640,6 +724,25 @@ def vec_str_pair_sum(spark: SparkSession, folder: str) -> DataFrame:
     return _hashed(_vector_cells(_text_tokens(spark, folder), string="pair_sum"))
 
 
+_LONG_TOKENS = "select 's' || text as token from documents where text is not null"
+
+
+def _long_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    texts = inp.table(spark, folder, "documents").where("text is not null")
+    return inp.spread(texts.select(F.concat(F.lit("s"), "text").alias("token"))).distinct()
+
+
+@register(orc.token_sql(_LONG_TOKENS, columns="md5(token) as token"))
+def vec_str_decay_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of up to 20,000 words."""
+    return _hashed(_vector_cells(_long_tokens(spark, folder)))
+
+
+@register(orc.token_sql(_LONG_TOKENS, columns="md5(token) as token", string="pair_sum"))
+def vec_str_pair_sum_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return _hashed(_vector_cells(_long_tokens(spark, folder), string="pair_sum"))
+
+
 @register("select l_orderkey, l_linenumber, cast(i as int) as i, round(case when total <> 0 then (v - lo) / total "
           "else v - lo end + 1e-9, 6) + 0.0 as v from (select *, unnest(range(3)) as i, unnest(a) as v, "
           "list_min(a) as lo, list_sum(a) - 3 * list_min(a) as total "
@@ -667,6 +770,12 @@ def multi_length(spark: SparkSession, folder: str) -> DataFrame:
     return cells(fps, "fp", "doc_id", "L")
 
 
+@register(f"select doc_id, cast(i + case L when 11 then 7 else 0 end as int) as i, v from ({_length_sql(7)} union all {_length_sql(11)})")
+def multi_length_side_by_side(spark: SparkSession, folder: str) -> DataFrame:
+    fps = fpr.fingerprint(inp.event_docs(spark, folder), "11, 7 7", decimals=None, side_by_side=True)
+    return cells(fps, "fp", "doc_id")
+
+
 # --- aggregations -------------------------------------------------------------
 
 
@@ -758,7 +867,7 @@ def corr_histogram(spark: SparkSession, folder: str) -> DataFrame:
 #: Rows of a tile where a query has to fill many of them.
 SMALL_TILE = 128
 ORDER_CUTOFF = 0.99
-ORDER_K = 100_000
+MANY_PAIRS = 100_000
 
 
 def _order_entries(spark: SparkSession, folder: str) -> DataFrame:
@@ -808,10 +917,13 @@ def pairs_cross(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(search.class_pairs(query, _entries(spark, folder), CUTOFF))
 
 
-@register(orc.pair_sql(orc._CROSS, CUTOFF))
+@register(orc.pair_sql(orc.RAW, CUTOFF))
 def query_raw(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors that are in no index: those of the table, turned around."""
     target = idx.read_index(spark, _stored_index(spark, folder))
-    return _rounded(search.query_raw(_first_label(spark, folder), target, CUTOFF))
+    raw = inp.embedding_fps(spark, folder).where(F.col("statements") % 3 == 0)
+    raw = raw.withColumn("doc_id", F.concat(F.lit("-"), "doc_id")).withColumn("fp", F.transform("fp", lambda x: -x))
+    return _rounded(search.query_raw(raw, target, CUTOFF))
 
 
 @register(f"with {orc._RANKS} select a.id as q, b.id as t, round({orc._CORR.format('sum((a.r - b.r) * (a.r - b.r))')}, 9) as corr "
@@ -871,9 +983,19 @@ def triple_vectors(spark: SparkSession, folder: str) -> DataFrame:
 # --- windows ------------------------------------------------------------------
 
 
-@register(orc.triples_sql("kind = 'array'").replace("select doc_id, kind,", "select doc_id,", 1))
+@register("select cast(conv_id as varchar) as doc_id, 'said' as name, "
+          "coalesce(lag(said) over w, '0') as key, said as cargo "
+          "from (select conv_id, turn, role || ' ' || turn as said from conversations) window w as (partition by conv_id order by turn) "
+          "union all select cast(conv_id as varchar), 'said', arg_max(role || ' ' || turn, turn), cast(count(*) as varchar) "
+          "from conversations group by conv_id having count(*) > 1")
 def array_links(spark: SparkSession, folder: str) -> DataFrame:
-    return array_triples(spark, folder).drop("kind")
+    """Who spoke after whom, as links along one array per conversation."""
+    turns = inp.table(spark, folder, "conversations")
+    said = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(" ", "role", "turn").alias("said"))))
+    talks = turns.groupBy("conv_id").agg(F.transform(said, lambda x: x["said"]).alias("said")).where(F.size("said") > 1)
+    texts = talks.select("conv_id", F.to_json(F.struct("said", F.lit(1).alias("kept"))).alias("text"))
+    rows = st.triple_text(st.triples(dox.documents_from(texts, "conv_id", "text"), kind="array"))
+    return rows.select("doc_id", "name", "key", "cargo")
 
 
 @register(_RANK_SQL)
@@ -916,11 +1038,10 @@ def topk_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(search.topk_pairs(_entries(spark, folder), 500))
 
 
-@register(orc.order_topk_sql(L, ORDER_K))
-def topk_pairs_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """A large k over classes of many members: the best pairs by correlation."""
-    found = search.topk_pairs(_order_entries(spark, folder), ORDER_K)
-    return _rounded(found).groupBy("corr").agg(F.count("*").alias("pairs"))
+@register(orc.topk_sql(MANY_PAIRS))
+def topk_pairs_many(spark: SparkSession, folder: str) -> DataFrame:
+    """So many best pairs that no part of the selection holds them all."""
+    return _rounded(search.topk_pairs(_entries(spark, folder), MANY_PAIRS))
 
 
 @register("select cast(event_id as varchar) as doc_id from events order by 1")
@@ -931,14 +1052,21 @@ def sorted_ids(spark: SparkSession, folder: str) -> DataFrame:
 # --- set operations and analysis ----------------------------------------------
 
 
-@register(f"({_CELLS_3}) union all ({_CELLS_3})")
+_EVENT_FP_SQL = _length_sql(64).replace("i, round(v + 1e-9, 6) + 0.0 as v from fp", "i, round(v + 1e-9, 3) + 0.0 as v from fp")
+
+
+@register(f"({_CELLS_3}) union all (select 'event ' || doc_id as doc_id, '1' as statements, i, v from {_EVENT_FP_SQL})")
 def concat_collections(spark: SparkSession, folder: str) -> DataFrame:
+    """A collection of vectors and one of documents, in files of their own."""
     one = tab.read_fingerprints(spark, _collection(spark, folder), 64)
-    two = tab.read_fingerprints(spark, _collection(spark, folder, compression="bzip2"), 64)
-    return _collection_cells(tab.concat_collections(one, two))
+    fps = fpr.fingerprint(inp.event_docs(spark, folder), 64, decimals=None)
+    fps = fps.withColumn("doc_id", F.concat(F.lit("event "), "doc_id")).withColumn("fp", F.transform("fp", lambda x: x + 1e-9))
+    path = scratch_folder(spark)
+    sinks.write_fingerprints(fps, path, compression="bzip2")
+    return _collection_cells(tab.concat_collections(one, tab.read_fingerprints(spark, path, 64)))
 
 
-@register()
+@register(orc.pca_sql(orc.fingerprint_ctes(orc.order_statements(), L), L))
 def pca_fp(spark: SparkSession, folder: str) -> DataFrame:
     fps = fpr.fingerprint(inp.order_docs(spark, folder), L, decimals=None)
     return cells(analysis.pca_fp(fps), "pc", "doc_id")

@@ -138,13 +138,19 @@ def vector_ctes(
     else:
         numbers = [f"select token, {_cell('n', length, dialect)} as i, 1.0 as v from num"]
     if string == "decay":
-        value = (
-            "pow(0.9, k) * sum(case when k = 0 then o else 0.1 * o * pow(0.9, -k) end) "
-            "over (partition by token order by k)"
-        )
+        # running means within 256 characters, and what the two stretches before leave of theirs
+        run = """inb as (select token, k, o, k // 256 as b, k % 256 as p,
+  pow(0.9, k % 256) * sum(case when k = 0 then o else 0.1 * o * pow(0.9, -(k % 256)) end)
+    over (partition by token, k // 256 order by k) as s from ords),
+bend as (select token, b, arg_max(s, p) as s from inb group by token, b),
+run as (select inb.token, k, o, inb.s + pow(0.9, p + 1)
+  * (coalesce(x.s, 0) + pow(0.9, 256) * coalesce(y.s, 0)) as r from inb
+  left join bend x on x.token = inb.token and x.b = inb.b - 1
+  left join bend y on y.token = inb.token and y.b = inb.b - 2)"""
         s = f"(r * {length} / 10.0)"
     else:
         value = "case when k = 0 then o else o + lag(o) over (partition by token order by k) end"
+        run = f"run as (select token, k, o, {value} as r from ords)"
         s = "r"
     # v2 takes the least cell only up to the first that is exactly 0
     least = "min(v)"
@@ -156,7 +162,8 @@ def vector_ctes(
         f"select token, cast(floor({s}) + 1 as bigint) % {length} as i, {s} - floor({s}) as v from run where k > 0",
     ]
     return f"""
-tk as (select distinct token, substr(token, 1, 1) as typ, substr(token, 2) as txt from tok),
+tk as materialized (select row_number() over () as token, word, substr(word, 1, 1) as typ, substr(word, 2) as txt
+  from (select distinct token as word from tok)),
 tn as (select token, typ, txt, typ in ('i', 'f', 'b') or {looks} as is_num,
   case when typ = 'b' then cast(txt = 'true' as double) else try_cast(trim(txt) as double) end as n from tk),
 num as (select token, n, {mantissa} / 10.0 * {length} as p, {exponent} as x from tn
@@ -164,7 +171,7 @@ num as (select token, n, {mantissa} / 10.0 * {length} as p, {exponent} as x from
 chars as (select token, txt, unnest(range(length(txt))) as k from tn
   where typ = 's' and not is_num and txt <> ''),
 ords as (select token, k, cast(unicode(substr(txt, k + 1, 1)) as double) as o from chars),
-run as (select token, k, o, {value} as r from ords),
+{run},
 part as ({' union all '.join(numbers + strings)}
   union all select token, 0 as i, 1.0 as v from tn where {first}),
 cell as (select token, i, sum(v) as v from part group by token, i),
@@ -173,9 +180,9 @@ grid as (select tn.token, g.i, coalesce(cell.v, 0) as v from tn
   left join cell on cell.token = tn.token and cell.i = g.i),
 low as (select token, lo, whole - {length} * lo as total
   from (select token, {least} as lo, sum(v) as whole from grid group by token)),
-vec as materialized (select grid.token, cast(grid.i as int) as i,
+vec as materialized (select tk.word as token, cast(grid.i as int) as i,
   case when total <> 0 then (v - lo) / total else v - lo end as v
-  from grid join low on low.token = grid.token)"""
+  from grid join low on low.token = grid.token join tk on tk.token = grid.token)"""
 
 
 _ROUND = "round({} + 1e-9, 6) + 0.0"
@@ -236,6 +243,38 @@ select fp.doc_id, fp.i, {_ROUND.format("(fp.v - m) / case when s = 0 then 1 else
 from fp join st_of on st_of.doc_id = fp.doc_id"""
 
 
+def pca_sql(ctes: str, length: int, steps: int = 2000) -> str:
+    """Two principal components of fp by power iteration, the second one on what the
+    first leaves of the correlations."""
+    cells = f"range(1, {length + 1})"
+
+    def iterated(name, matrix):
+        step = f"list_transform({cells}, lambda i: list_inner_product(m[i], v))"
+        return f"""
+{name}_steps(k, v) as (select 0, list_transform({cells}, lambda i: 1.0 / i::double)
+  union all select k + 1, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w)))
+  from (select k, {step} as w from {name}_steps, {matrix} where k < {steps})),
+{name}_last as (select v, list_max(list_transform(v, lambda x: abs(x))) as top from {name}_steps where k = {steps}),
+{name} as (select case when list_contains(v, top) then v else list_transform(v, lambda x: -x) end as v from {name}_last)"""
+
+    left = (
+        f"list_transform({cells}, lambda i: list_transform({cells}, lambda j: "
+        f"m[i][j] - list_inner_product(list_transform({cells}, lambda q: list_inner_product(m[q], v)), v) * v[i] * v[j]))"
+    )
+    return f"""with recursive {ctes},
+sp as (select i, avg(v) as mean, stddev_samp(v) as dev from fp group by i),
+zs as materialized (select doc_id, fp.i, case when dev > 1e-7 then (v - mean) / dev else 0.0 end as z from fp join sp on sp.i = fp.i),
+zl as materialized (select doc_id, list(z order by i) as z from zs group by doc_id),
+cr as (select a.i as i, b.i as j, sum(a.z * b.z) / (select count(*) - 1 from zl) as c
+  from zs a join zs b on a.doc_id = b.doc_id group by a.i, b.i),
+mat as materialized (select list(r order by i) as m from (select i, list(c order by j) as r from cr group by i)),
+{iterated("pc_one", "mat")},
+rest as materialized (select {left} as m from mat, pc_one),
+{iterated("pc_two", "rest")}
+select doc_id, cast(0 as int) as i, {_ROUND.format("list_inner_product(z, pc_one.v)")} as v from zl, pc_one
+union all select doc_id, 1, {_ROUND.format("list_inner_product(z, pc_two.v)")} from zl, pc_two"""
+
+
 # --- ranks and pairs of the embedding table -------------------------------------
 
 _RANKS = """e as (select cast(vec_id as varchar) as id, cast(label as bigint) as label, vec_id,
@@ -267,6 +306,14 @@ _CROSS = f"""{_RANKS},
 ql as (select ranks, min(rv.id) as rep, count(*) as n from rv join e on e.id = rv.id where e.label = 0 group by ranks),
 cp as ({_class_pairs('ql', 'cl', 'true')})"""
 
+# queries are the vectors of every third label, turned around
+RAW = f"""{_RANKS},
+nk as (select '-' || e.id as id, row_number() over (partition by e.id order by -ec.x, ec.i) - 1 as r, ec.i
+  from ec join e on e.id = ec.id where label % 3 = 0),
+nv as (select id, list(r order by i) as ranks from nk group by id),
+ql as (select ranks, min(id) as rep, count(*) as n from nv group by ranks),
+cp as ({_class_pairs('ql', 'cl', 'true')})"""
+
 _PAIR_COLUMNS = "q, t, round(corr, 9) as corr, pairs"
 
 
@@ -295,14 +342,6 @@ cp as (select a.rep as q, b.rep as t, 1.0 - 6.0 * {gap} / ({length}.0 * ({length
   union all select rep, rep, 1.0, n * (n - 1) // 2 from cl where n > 1)"""
 
 
-def order_topk_sql(length: int, k: int) -> str:
-    """How many of the k best pairs have each correlation."""
-    return f"""with {order_pairs(length)},
-levels as (select corr, cast(sum(pairs) as bigint) as pairs from cp group by corr),
-placed as (select corr, pairs, coalesce(sum(pairs) over (order by corr desc rows between unbounded preceding and 1 preceding), 0) as ahead from levels)
-select round(corr, 9) as corr, cast(least(pairs, {k} - ahead) as bigint) as pairs from placed where ahead < {k}"""
-
-
 # --- small statement sets --------------------------------------------------------
 
 

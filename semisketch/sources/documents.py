@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import computed_once, file_stem, let, sanitize_id
@@ -80,6 +82,40 @@ def rejects(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reason").isNotNull()).drop("body")
 
 
+#: Reasons against a document.
+REASONS = ("empty", "invalid", "too large", "no id")
+
+
+class Checked(NamedTuple):
+    """What a source holds: its documents, its rejects with a reason each, and how many
+    of both there are.
+
+    ``counts.get`` has ``documents`` and a number for each reason as soon as an action
+    on ``docs`` has run; they are counted on the way, in the same pass.
+    """
+
+    docs: DataFrame
+    rejects: DataFrame
+    counts: Observation
+
+
+def checked(parsed: DataFrame) -> Checked:
+    """Parsed documents told apart; one that is too large is a reject here."""
+    counts, reason = Observation(), F.col("reason")
+    found = parsed.observe(
+        counts, F.count_if(reason.isNull()).alias("documents"),
+        *[F.count_if(reason == r).alias(r) for r in REASONS],
+    )
+    docs = found.where(reason.isNull()).select("doc_id", "body")
+    return Checked(docs, rejects(parsed), counts)
+
+
+def check_json_dir(spark: SparkSession, path, recursive: bool = False, only_json: bool = False) -> Checked:
+    """``read_json_dir`` or ``read_json_tree`` with its rejects."""
+    pattern = "*.json" if only_json else None
+    return checked(parse_documents(whole_files(spark, path, "json", recursive, pattern)))
+
+
 def documents_from(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Documents out of any table with an id and a JSON text column."""
     rows = rows.select(
@@ -185,6 +221,42 @@ def json_lines(lines: DataFrame, id_field: str) -> DataFrame:
     return entities(parsed.where(F.col("body").isNotNull()), id_field)
 
 
+# Fixed value: lines of an array wrapped around the objects, which hold no entity.
+_WRAPPING = r"^[\s\[\],]*$"
+
+
+def parsed_entity(rows: DataFrame, body: Column, id_field: str, text: str, sure_bytes: int = SURE_BYTES) -> DataFrame:
+    """``doc_id, body, reason`` and the ``text`` of each reject, in place of ``text``."""
+    kept = [c for c in rows.columns if c != text]
+    found = computed_once(rows, [*kept, text], F.struct(body.alias("_body")))
+    key, large = field(F.col("_body"), id_field), F.octet_length(text) > sure_bytes
+    reason = (
+        F.when(F.col("_body").isNull() & large, "too large")
+        .when(F.col("_body").isNull(), "invalid").when(key.isNull(), "no id")
+    )
+    parts = F.struct(
+        sanitize_id(key).alias("doc_id"), drop_id_field(F.col("_body"), id_field).alias("body"),
+        reason.alias("reason"), F.when(reason.isNotNull(), F.col(text)).alias("text"),
+    )
+    return computed_once(found, kept, parts)
+
+
+def parsed_lines(lines: DataFrame, id_field: str) -> DataFrame:
+    """``doc_id, body, reason, text`` of text lines (column ``value``): the text is kept
+    of a line that is no JSON object, or one without an id.  Blank lines, and brackets
+    and commas on lines of their own, are no entities."""
+    allow_duplicate_keys(lines.sparkSession)
+    rows = lines.where(~F.col("value").rlike(_WRAPPING))
+    body = F.when(F.col("value").rlike(r"^\s*\{"), strict_json(F.regexp_replace("value", ",$", "")))
+    return parsed_entity(rows, body, id_field, "value")
+
+
+def check_json_lines(spark: SparkSession, path, id_field: str) -> Checked:
+    """``read_json_lines`` with its rejects, which come with their ``file``."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return checked(parsed_lines(lines, id_field))
+
+
 def read_json_lines(spark: SparkSession, path, id_field: str) -> DataFrame:
     """Entities of files with one object per line, also if wrapped as an array."""
     return json_lines(spark.read.text(path), id_field)

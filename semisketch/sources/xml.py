@@ -8,13 +8,13 @@ has no other type.
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import computed_once, let
-from .documents import entities, whole_files
+from .documents import Checked, checked, entities, parsed_entity, whole_files
+from .xml_scan import record_texts
 
 # A private-use character put before every text, so that the parser takes none of
 # them for a number, a boolean or a null; it is taken out again afterwards.
@@ -87,11 +87,21 @@ def xml_body(text: Column) -> Column:
     return F.try_parse_json(_unescaped(F.translate(json, _MARK, "")))
 
 
+def parsed_xml(files: DataFrame) -> DataFrame:
+    """``doc_id, body, reason`` of ``doc_id, text``."""
+    docs = computed_once(files, ["doc_id"], F.struct(xml_body(F.col("text")).alias("body")))
+    return docs.withColumn("reason", F.when(F.col("body").isNull(), "invalid"))
+
+
 def read_xml_dir(spark: SparkSession, path, recursive: bool = False) -> DataFrame:
     """One document per file; files that cannot be parsed are left out."""
-    files = whole_files(spark, path, "xml", recursive=recursive)
-    docs = computed_once(files, ["doc_id"], F.struct(xml_body(F.col("text")).alias("body")))
-    return docs.where(F.col("body").isNotNull())
+    parsed = parsed_xml(whole_files(spark, path, "xml", recursive=recursive))
+    return parsed.where(F.col("reason").isNull()).drop("reason")
+
+
+def check_xml_dir(spark: SparkSession, path, recursive: bool = False) -> Checked:
+    """``read_xml_dir`` with its rejects."""
+    return checked(parsed_xml(whole_files(spark, path, "xml", recursive=recursive)))
 
 
 def read_xml_tree(spark: SparkSession, path) -> DataFrame:
@@ -101,18 +111,18 @@ def read_xml_tree(spark: SparkSession, path) -> DataFrame:
 def read_xml_records(
     spark: SparkSession, path, row_tag: str, id_field: str, on_missing: str = "fail"
 ) -> DataFrame:
-    """Entities of files with repeated ``row_tag`` elements.
+    """Entities of files with repeated ``row_tag`` elements, however large the files.
 
-    The files are cut at the closing tags by the text reader, so large ones are
-    read by many tasks.
+    Records are the outermost elements of that name.  Files are read by many tasks
+    (``xml_scan``); records that cannot be parsed are left out.
     """
-    tag = re.escape(row_tag)
-    pieces = spark.read.option("lineSep", f"</{row_tag}>").text(path)
-    record = rf"(?s)<{tag}(?:\s[^<>]*)?/>|<{tag}(?:\s[^<>]*)?>.*"
-    found = F.regexp_extract_all(F.col("value"), F.lit(record), 0)
-    whole = F.when(F.col("r").endswith("/>") & ~F.col("r").rlike("(?s)>.*<"), F.col("r"))
-    rows = pieces.select(F.explode(found).alias("r")).select(
-        F.coalesce(whole, F.concat("r", F.lit(f"</{row_tag}>"))).alias("text")
-    )
+    rows = record_texts(spark, path, row_tag).where("text is not null").select("text")
     bodies = computed_once(rows, [], F.struct(xml_body(F.col("text")).alias("body")))
     return entities(bodies.where(F.col("body").isNotNull()), id_field, on_missing)
+
+
+def check_xml_records(spark: SparkSession, path, row_tag: str, id_field: str) -> Checked:
+    """``read_xml_records`` with its rejects, which come with their ``file``; a file that
+    ends inside a record has one without a text."""
+    rows = record_texts(spark, path, row_tag)
+    return checked(parsed_entity(rows, xml_body(F.col("text")), id_field, "text"))
