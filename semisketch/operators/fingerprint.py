@@ -103,15 +103,25 @@ def _by_length(sums: DataFrame, lengths: list[int]) -> DataFrame:
     return sums.select("doc_id", "L", "statements", "fp")
 
 
-def token_dim(triples: DataFrame, length: int, encoding: Encoding = Encoding()) -> DataFrame:
-    """``(token, vec)``: the distinct tokens of a triple table with their vectors.
+def tokens_of(rows: DataFrame, shape: Shape = Shape()) -> DataFrame:
+    """``(token)``: the distinct tokens of documents, or of a triple table.
 
-    Distinct first, in partial aggregates, so a token in every row is no burden.
+    Distinct in partial aggregates, so a token in every row is no burden; of documents
+    a token leaves its row once, however many statements have it.
     """
-    tokens = F.explode(F.array("base", _key_token(), "cargo")).alias("token")
-    return triples.select(tokens).distinct().select(
-        "token", token_vector(F.col("token"), length, encoding).alias("vec")
-    )
+    if "body" in rows.columns:
+        parts = vector_parts(statements(containers(shape), shape))
+        every = F.flatten(F.transform(parts, lambda p: F.array(p["base"], p["key"], p["cargo"])))
+        return rows.select(F.explode(F.array_distinct(every)).alias("token")).distinct()
+    return rows.select(F.explode(F.array("base", _key_token(), "cargo")).alias("token")).distinct()
+
+
+def token_dim(
+    rows: DataFrame, length: int, encoding: Encoding = Encoding(), shape: Shape = Shape()
+) -> DataFrame:
+    """``(token, vec)``: the distinct tokens of documents or triples with their vectors."""
+    tokens = tokens_of(rows, shape)
+    return tokens.select("token", token_vector(F.col("token"), length, encoding).alias("vec"))
 
 
 def triple_vectors(triples: DataFrame, length: int, encoding: Encoding = Encoding()) -> DataFrame:

@@ -26,6 +26,8 @@ def numbered(
     parts = max(1, -(-rows.count() // part_rows))
     sorted_rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     placed = materialize(sorted_rows.withColumn("_place", F.monotonically_increasing_id()))
+    if parts == 1 and weight is None:
+        return placed.withColumnRenamed("_place", name)
     part = F.shiftright("_place", _BITS)
     size = F.count("*") if weight is None else F.sum(weight)
     starts, ahead = [], 0

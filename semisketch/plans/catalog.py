@@ -6,6 +6,8 @@ read it back.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..functions import arrays, tokens
 from ..functions.arrays import cells
 from ..functions.vectors import Encoding, token_vector
 from ..operators import analysis, fingerprint as fpr, index as idx, naming, search, structure as st
+from ..operators.dictionary import TokenDictionary
 from ..session import scratch_folder
 from ..sources import documents as dox, sinks, tables as tab, xml
 from ..streaming import jobs
@@ -602,7 +605,17 @@ _STATEMENT_TOKENS = "select base as token from st union select key from st union
 @register(f"with {orc.order_statements()}, tok as ({_STATEMENT_TOKENS}), {orc.vector_ctes(L)} "
           f"select token, i, {orc._ROUND.format('v')} as v from vec")
 def token_dim(spark: SparkSession, folder: str) -> DataFrame:
-    return cells(fpr.token_dim(st.triples(inp.order_docs(spark, folder)), L), "vec", "token")
+    return cells(fpr.token_dim(inp.order_docs(spark, folder), L), "vec", "token")
+
+
+@register(ORACLES["token_dim"])
+def token_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    """The same vectors, kept from one load to the next."""
+    name, docs = f"tokens_{uuid.uuid4().hex}", inp.order_docs(spark, folder)
+    held = TokenDictionary(spark, name, L, buckets=8, path=scratch_folder(spark))
+    held.add(fpr.tokens_of(docs.where("cast(doc_id as long) % 2 = 0")))
+    held.add(fpr.tokens_of(docs))
+    return cells(held.vectors(), "vec", "token")
 
 
 _KIND_TOKENS = (

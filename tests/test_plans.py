@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from semisketch.functions.vectors import Encoding, token_vector
+from semisketch.operators.dictionary import TokenDictionary
 from semisketch.operators.fingerprint import fingerprint
 from semisketch.operators.search import Tree
 from semisketch.operators.structure import triples
@@ -33,6 +35,22 @@ def test_crowded_cells_are_split(spark):
     assert sum(sizes) == 300 and len(sizes) == tree.tiles == 6 and max(sizes) < 100
 
 
+def test_dictionary_stays_where_it_is(spark, tmp_path):
+    """A second load computes new tokens only, and only the other side is moved."""
+    held = TokenDictionary(spark, "tokens_of_test", 7, buckets=4, path=str(tmp_path / "d"))
+    tokens = lambda *names: spark.createDataFrame([(n,) for n in names], "token string")
+    assert held.vectors().collect() == []
+    assert held.add(tokens("sa", "sb", "sb", None)) == 2
+    assert held.add(tokens("sb", "sc", "i3")) == 2 and held.add(tokens("sc")) == 0
+    want = {r.token: r.vec for r in tokens("sa", "sb", "sc", "i3").withColumn("vec", token_vector(F.col("token"), 7, Encoding())).collect()}
+    assert {r.token: r.vec for r in held.vectors().collect()} == want and held.vectors().count() == 4
+    joined = held.of(tokens("sa", "sa", "i3", "sx"))
+    assert sorted(r.token for r in joined.collect()) == ["i3", "sa", "sa"]
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in initial
+
+
 def _permutations(n):
     import itertools
 
