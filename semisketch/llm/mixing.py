@@ -1,13 +1,21 @@
-"""Mixing sources to target weights by weighted fair queueing."""
+"""Mixing sources to target weights by weighted fair queueing.
+
+Documents are shuffled within their source by a digest of the id and pass in rounds. A
+copy's virtual finish time is the number of words its source has sent up to its end over
+the source's target, so at any time all sources stand at the same share of their targets.
+All copies are sorted by that time in ranges over the cluster, and the mix ends where
+their words reach the budget.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stored
+from ..operators.order import numbered
+from .common import cut, n_words, stored
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -23,24 +31,36 @@ def targets(
 
     Sources in code point order, null last, take the weights in turn and share
     ``budget`` times all words. No target exceeds ``most`` times its source's words;
-    what is above goes to the others by weight, until none is above. That level is the
-    largest of the levels that result when the k sources that fill first are full: the
-    shared words are a concave function of the level, and each of these levels lies on
-    one of its tangents. One row per source; no source, no row.
+    what is above goes to the others by weight, until none is above. Each round of that
+    is one aggregate over the sources, which are numbered by ranges, so there may be any
+    number of them. One row per source; no source, no row.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(by_name) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn.cast("int") + 1)
-    rows = sizes.withColumn("weight", weight).withColumn("full", most * F.col("source_size"))
-    filling = Window.orderBy(F.col("full") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    left = budget * F.sum("source_size").over(everything) - (F.sum("full").over(filling.rowsBetween(Window.unboundedPreceding, 0)) - F.col("full"))
-    open_weight = F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing))
-    level = F.max("level").over(everything)
-    return rows.withColumn("level", left / open_weight).select(
-        "source", "source_size",
-        F.least(F.col("weight") * level, F.col("full").cast("double")).alias("target"),
-    )
+    order = [F.col("source").asc_nulls_last()]
+    rows = numbered(sizes, order, "turn")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("turn") % len(weights)).cast("int") + 1)
+    rows = cut(rows.withColumn("weight", weight).withColumn("full", most * F.col("source_size")).drop("turn"))
+    total = rows.agg(F.sum("source_size")).first()[0] or 0
+    level, filled = 0.0, -1
+    while True:
+        full = F.col("full") <= F.col("weight") * level
+        held = rows.agg(
+            F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("full"))), F.lit(0)), F.sum(F.when(~full, F.col("weight")))
+        ).first()
+        if held[0] == filled or held[2] is None:
+            break
+        filled, level = held[0], (budget * total - held[1]) / held[2]
+    goal = F.least(F.col("weight") * level, F.col("full").cast("double"))
+    if held[2] is None:
+        goal = F.col("full").cast("double")
+    return rows.select("source", "source_size", goal.alias("target"))
+
+
+def _copy_key(turn: Column | int) -> Column:
+    """The place of a copy in the queue: its finish time, then what tells copies apart."""
+    sent = turn * F.col("source_size") + F.col("before") + F.col("size")
+    finish = sent / F.nullif(F.col("target"), F.lit(0.0))
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    return F.struct(finish.alias("finish"), "ticket", number.alias("number"), "size", "key", F.lit(turn).cast("int").alias("turn") if isinstance(turn, int) else turn.alias("turn"))
 
 
 def schedule(
@@ -52,16 +72,17 @@ def schedule(
     Takes ``(doc_id, source, text)`` and other columns, which stay in the struct
     ``row``; returns ``row, doc_id, size, source_size, target, before, taken, finish``.
     Within a source, documents are shuffled by the MD5 of ``seed`` and id (ties: by id,
-    null first, then size), and pass in rounds: a document's r-th copy has
-    the virtual finish time ``(r * source_size + before + size) / target`` where
-    ``before`` counts the words ahead of it. All sources meet their target at time 1,
-    where the budget ends; a copy that lies more than half behind it is left out, so
-    whole documents are taken and a source misses its target by half a document at
-    most. ``taken`` counts words, repeats included, ``finish`` is the first copy's time
-    (null if the target is 0). ``before`` is a sum over hash ranges of a source and one
-    within the range, so a source with a third of all rows is many groups. Null texts
-    and empty ones have size 0 and are taken 0 words. Repeated rows are documents of
-    their own. An empty table gives an empty one.
+    null first, then size), and pass in rounds: a document's r-th copy has the virtual
+    finish time ``(r * source_size + before + size) / target`` where ``before`` counts
+    the words ahead of it in its source, and r is below ``most``. In the order of finish
+    times (ties: by MD5, id, size, source) copies are taken as long as their words do
+    not exceed ``budget`` times all words, so whole documents are taken. ``taken`` counts
+    words, repeats included, ``finish`` is the first copy's time (null if the target is
+    0). ``before`` is a sum over hash ranges of a source and one within the range, so a
+    source with a third of all rows is many groups; one copy's place in the queue, the
+    last one taken, reaches the driver. Null texts and empty ones have size 0 and are
+    taken 0 words. Repeated rows are documents of their own. An empty table gives an
+    empty one.
     """
     ticket = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     # a key that is never null, so that sums within it and the join need one partitioning
@@ -70,30 +91,41 @@ def schedule(
         "doc_id", key.alias("key"), n_words(F.col("text")).alias("size"), ticket.alias("ticket"),
         F.struct(*docs.columns).alias("row"),
     )
-    slim = stored(rows.select("key", "size", "ticket"))
+    slim = stored(rows.drop("row"))
     per_source = slim.groupBy("key").agg(F.sum("size").alias("source_size"))
     name = F.when(F.col("key") != "", F.substring("key", 2, 1 << 30))
-    goals = targets(per_source.withColumn("source", name), weights, budget, most)
+    goals = targets(per_source.select(name.alias("source"), "source_size"), weights, budget, most)
     goals = goals.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    buckets = max(16, -(-slim.count() // BUCKET_ROWS))
+    count, words = slim.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    buckets = max(16, -(-count // BUCKET_ROWS))
     place = F.conv(F.substring("ticket", 1, 8), 16, 10).cast("long")
     bucket = F.floor(place * buckets / 2**32).cast("long")
     sums = slim.groupBy("key", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("ahead", F.sum("words").over(ahead) - F.col("words"))
-    sums = sums.join(goals, "key").select("key", "bucket", "ahead", "source_size", "target")
-    rows = rows.withColumn("bucket", bucket)
-    inside = Window.partitionBy("key", "bucket").orderBy("ticket", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("within", F.sum("size").over(inside) - F.col("size"))
-    rows = rows.join(sums, ["key", "bucket"]).select(
-        "row", "doc_id", "size", "source_size", "target", (F.col("ahead") + F.col("within")).alias("before"),
-    )
-    copies = sum(
-        F.when(2 * (r * F.col("source_size") + F.col("before")) + F.col("size") <= 2 * F.col("target"), 1).otherwise(0)
-        for r in range(most)
-    )
+    sums = cut(sums.join(goals, "key").select("key", "bucket", "ahead", "source_size", "target"))
+
+    def placed(found: DataFrame) -> DataFrame:
+        inside = Window.partitionBy("key", "bucket").orderBy("ticket", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+        found = found.withColumn("bucket", bucket).withColumn("within", F.sum("size").over(inside) - F.col("size"))
+        found = found.join(sums, ["key", "bucket"])
+        return found.withColumn("before", F.col("ahead") + F.col("within"))
+
+    turns = F.explode(F.array(*[F.lit(r) for r in range(most)])).alias("turn")
+    copies = placed(slim).filter("size > 0 and target > 0").select("*", turns)
+    copies = copies.select(_copy_key(F.col("turn")).alias("place"), "size")
+    queue = numbered(copies, ["place"], "ahead", "size")
+    limit = min(budget, most) * words
+    last = queue.filter(F.col("ahead") + F.col("size") <= limit).agg(F.max("place").alias("last"))
+    end = last.first()["last"]
+    taken = F.lit(0)
+    if end is not None:
+        kinds = ("double", "string", "long", "long", "string", "int")
+        end = F.struct(*[F.lit(v).cast(k).alias(c) for (c, v), k in zip(end.asDict().items(), kinds, strict=True)])
+        taken = sum(F.when(_copy_key(r) <= end, 1).otherwise(0) for r in range(most))
     finish = (F.col("before") + F.col("size")) / F.nullif(F.col("target"), F.lit(0.0))
-    return rows.withColumn("taken", F.col("size") * copies).withColumn("finish", finish)
+    taken = F.when((F.col("size") > 0) & (F.col("target") > 0), F.col("size") * taken).otherwise(0).cast("long")
+    return placed(rows).select("row", "doc_id", "size", "source_size", "target", "before", taken.alias("taken"), finish.alias("finish"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -49,7 +49,7 @@ select doc_id, digest, license_id from scanned left join known using (digest)
 
 
 MIXING = r"""
-with docs as (
+with docs as materialized (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
          md5(coalesce(doc_id::varchar, '')) as ticket from documents
 ), sources as (
@@ -65,15 +65,20 @@ with docs as (
   from sources
 ), goals as (
   select source, source_size, least(weight * max(level) over (), 2.0::double * source_size) as target from levels
-), placed as (
-  select doc_id, size, source_size, target,
-         sum(size) over (partition by d.source order by ticket, doc_id, size rows unbounded preceding) - size as before
+), placed as materialized (
+  select row_number() over () as item, doc_id, d.source, size, ticket, source_size, target,
+         (sum(size) over (partition by d.source order by ticket, doc_id nulls first, size rows unbounded preceding) - size)::bigint as before
   from docs d join goals g on d.source is not distinct from g.source
+), copies as (
+  select *, (turn * source_size + before + size) / target as finish
+  from (select *, unnest([0, 1]) as turn from placed where size > 0 and target > 0)
+), queue as (
+  select item, size, sum(size) over (order by finish, ticket, doc_id nulls first, size, coalesce('=' || source, ''), turn
+                                     rows unbounded preceding) as done from copies
+), mix as (
+  select item, sum(size)::bigint as taken from queue where done <= 1.5::double * (select sum(size) from docs) group by item
 )
-select doc_id, size, source_size, target,
-       (size * ((2 * before + size <= 2 * target)::int
-              + (2 * (source_size + before) + size <= 2 * target)::int))::bigint as taken
-from placed
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from placed left join mix using (item)
 """
 
 
