@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder, scratch_folder
@@ -66,6 +66,31 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose id is not in the column ``doc_id`` of ``gone``, with all their
+    columns, whatever their names."""
+    kept = docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def sampled(rows: DataFrame, key: str, most: int, texts: DataFrame, chars: int) -> DataFrame:
+    """``(doc_id, key, text)`` of at most ``most`` rows of each value of ``key``, by order
+    of a hash of the id, with at most ``chars`` characters of text.
+
+    ``rows`` has ``doc_id`` and the key, ``texts`` ``doc_id`` and ``text``. However often
+    an id repeats, no more rows come out; a value that most rows have is cut down in
+    parts first.
+    """
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    first = lambda found, *by: found.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("turn") <= most).drop("turn")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(64))
+    chosen = first(first(rows.select("doc_id", key).distinct().withColumn("part", part), key, "part"), key).drop("part")
+    # at most so many rows a value, where those are few
+    held = texts.select("doc_id", F.substring("text", 1, chars).alias("text")).join(F.broadcast(chosen), "doc_id")
+    order.append(F.xxhash64("text"))
+    return first(first(held.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(64))), key, "part"), key).select("doc_id", key, "text")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of links ``(a, b)``: ``(id, component_id)``.
 

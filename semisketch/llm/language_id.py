@@ -14,13 +14,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sampled, stored, without_ids
 
 #: Documents of each language, by order of a hash, that training reads at most.
 TRAIN = 500
+#: Characters that it reads of one document at most.
+TRAIN_CHARS = 100_000
 #: Hashed byte trigrams.
 GRAMS = 1 << 16
 #: Trigrams overlap and repeat: n of them weigh as much as n / (1 + n / WEIGHT).
@@ -33,13 +35,21 @@ SLICE = 1_000_000
 
 def grams(text: str) -> np.ndarray:
     """Hashed byte trigrams of the lower-cased text with blanks and digits as one mark."""
-    data = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)
-    data = _FOLD[data]
-    data = data[np.r_[True, (data[1:] != 32) | (data[:-1] != 32)]].astype(np.uint32)
-    if len(data) < 3:
-        return np.zeros(0, np.int64)
-    code = data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]
-    return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
+    return np.concatenate(list(gram_slices(text)))
+
+
+def gram_slices(text: str) -> Iterator[np.ndarray]:
+    """The trigrams of a text of any length, in runs of about SLICE of them; the last two
+    bytes of a run begin the next."""
+    text, last = f" {text.lower()} ", np.zeros(0, np.uint8)
+    for at in range(0, len(text), SLICE):
+        data = _FOLD[np.frombuffer(text[at : at + SLICE].encode("utf-8", "surrogatepass"), np.uint8)]
+        data = np.concatenate([last, data])
+        data = data[np.r_[True, (data[1:] != 32) | (data[:-1] != 32)]]
+        last = data[-2:]
+        wide = data.astype(np.uint32)
+        code = wide[:-2] << np.uint32(16) | wide[1:-1] << np.uint32(8) | wide[2:]
+        yield ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
 
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -51,10 +61,8 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     ``docs`` has ``doc_id, text, lang``; rows without a language take no part.
     """
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = docs.filter("lang is not null and doc_id is not null").select("doc_id", "lang")
-    chosen = chosen.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= TRAIN).drop("turn")
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas()
+    rows = docs.filter("lang is not null and doc_id is not null")
+    sample = sampled(rows, "lang", TRAIN, rows, TRAIN_CHARS).toPandas()
     langs = sorted(set(sample["lang"]))
     counts = np.full((len(langs) + 1, GRAMS), 0.0)
     for lang, text in zip(sample["lang"], sample["text"], strict=True):
@@ -104,8 +112,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             out = []
             for text in texts:
                 total, n = np.zeros(by_gram.shape[1]), 0
-                for at in range(0, len(text), SLICE):
-                    found = grams(text[at : at + SLICE])
+                for found in gram_slices(text):
                     total += by_gram[found].sum(0)
                     n += len(found)
                 out.append(total / n * (n / (1 + n / WEIGHT)) if n else total)
@@ -158,5 +165,4 @@ def in_known_language(docs: DataFrame) -> DataFrame:
     """Documents whose language is known, all columns as they were. Rows without an id
     stay; rows of one id go if one of them is rejected."""
     found = identify(evidence_of_documents(docs), train(docs))
-    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return without_ids(docs, found.filter("not kept and doc_id is not null"))

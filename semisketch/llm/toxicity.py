@@ -19,8 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 #: Labelled documents of each class, by order of a hash, that training reads at most.
 TRAIN = 2_000
+#: Characters that it reads of one document at most.
+TRAIN_CHARS = 100_000
 #: Landmarks: words that tell the classes apart, and their largest similarity.
 TELLING, ALIKE = 56, 0.85
 #: Largest step between characters of a subsequence, and what each character spanned costs.
@@ -236,9 +240,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on at most TRAIN documents of each class among the rows of ``labels``."""
     rows = labels.filter("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64("doc_id")
-    chosen = [rows.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(TRAIN) for y in (0, 1)]
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").toPandas()
+    sample = sampled(rows.filter("toxic in (0, 1)"), "toxic", TRAIN, docs, TRAIN_CHARS).toPandas()
     sample = sample.sort_values(["doc_id", "toxic"])
     share = counts.get(1, 0) / max(counts.get(0, 0) + counts.get(1, 0), 1)
     return fit(sample["text"].fillna("").tolist(), sample["toxic"].to_numpy(int), share)

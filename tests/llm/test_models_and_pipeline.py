@@ -9,10 +9,12 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from semisketch.llm import jaccard_join as jj
 from semisketch.llm import language_id as li
 from semisketch.llm import mixing as mx
 from semisketch.llm import queries
 from semisketch.llm import toxicity as tx
+from semisketch.llm.common import sampled
 
 FOLDER = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -124,6 +126,23 @@ def test_kernel_bound_and_value():
         assert (word in marks.close([word])) == (marks.kernel(word).max() >= tx.LEAST)
 
 
+def test_trigrams_do_not_hang_on_slices(monkeypatch):
+    text = "Ein  Satz, 12 Wörter; und  noch einer. " * 40
+    whole = li.grams(text)
+    monkeypatch.setattr(li, "SLICE", 7)
+    assert (li.grams(text) == whole).all() and len(li.grams("")) == 0
+
+
+def test_samples_stay_bounded(spark):
+    """One id many times over, and columns of whatever name."""
+    docs = spark.createDataFrame([(7, f"text {i} " * 50, "de", "x", 1, "s") for i in range(60)], "doc_id long, text string, lang string, _gone string, _copy int, source string")
+    found = sampled(docs, "lang", 20, docs, 30).collect()
+    assert len(found) == 20 and all(len(r.text) == 30 for r in found)
+    assert li.in_known_language(docs).columns == jj.one_of_each(docs).columns == docs.columns
+    odd = docs.withColumnRenamed("_gone", "a.b")
+    assert jj.one_of_each(odd.select("lang", "`a.b`", "doc_id", "text")).columns == ["lang", "a.b", "doc_id", "text"]
+
+
 # --- mixing -----------------------------------------------------------------------
 
 
