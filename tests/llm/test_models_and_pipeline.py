@@ -201,7 +201,7 @@ def test_mixing_meets_targets(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         con.sql(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     found, want = queries.QUERIES[name](spark, FOLDER), con.sql(queries.ORACLES[name])
     order = lambda columns, rows: sorted(tuple(repr(r[columns.index(c)]) for c in sorted(columns)) for r in rows)
