@@ -17,7 +17,9 @@ SAMPLE = [
     "read_xml_records", "append_index", "valid_docs", "triples", "set_triples", "token_dim",
     "vec_num_ml", "vec_str_decay", "fingerprint", "fingerprint_v1", "fingerprint_rows",
     "corr_histogram", "pairs_cross", "topk_pairs", "read_json_map", "read_xml_tree", "vec_num_smooth",
-    "index_pos", "pair_names", "stream_index",
+    "index_pos", "pair_names", "stream_index", "pca_fp", "valid_docs_lines", "valid_docs_xml",
+    "token_dictionary", "read_triples_lossless", "corr_histogram_orders", "multi_length_side_by_side",
+    "query_raw", "array_links",
 ]
 
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -29,10 +31,10 @@ def plain(columns, rows):
     return sorted(columns), sorted(tuple(as_text(r[i]) for i in order) for r in rows)
 
 
-def test_every_query_has_sql_but_the_numeric_one():
+def test_every_query_has_sql():
     """The queries of add-ons have tests of their own."""
     added = {name for module in ENTRY.ADDED for name in module.QUERIES}
-    assert set(ENTRY.queries()) - set(ENTRY.oracle_sql()) - added == {"pca_fp"}
+    assert set(ENTRY.queries()) - set(ENTRY.oracle_sql()) <= added
 
 
 @needs_data
