@@ -39,6 +39,17 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(table(spark, folder, "documents"), license_scan.known_licenses(spark))
 
 
+@register(sql.planted_licenses())
+def license_scan_planted(spark: SparkSession, folder: str) -> DataFrame:
+    """The same operator where every tenth document is a licence in another spelling."""
+    docs = table(spark, folder, "documents")
+    texts = F.array(*[F.lit(t) for _, t in license_scan.KNOWN])
+    text = F.get(texts, (F.floor(F.col("doc_id") / 10) % len(license_scan.KNOWN)).cast("int"))
+    spelt = F.concat(F.lit("Copyright (c) 2020 Someone\n"), F.replace(F.upper(text), F.lit(", "), F.lit(" ; ")))
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, spelt).otherwise(F.col("text")))
+    return license_scan.scan(docs, license_scan.known_licenses(spark))
+
+
 @register()
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -83,7 +94,9 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return language_id.identify(language_id.evidence_of_documents(docs), language_id.train(docs))
+    model = language_id.train(docs.filter(~toxicity.held_out()))
+    found = language_id.identify(language_id.evidence_of_documents(docs), model)
+    return found.withColumn("held_out", toxicity.held_out())
 
 
 @register()

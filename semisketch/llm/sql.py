@@ -37,17 +37,25 @@ def _canonical(text: str) -> str:
     return form
 
 
-def license_scan() -> str:
+def license_scan(documents: str = "documents") -> str:
     known = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
     return f"""
 with known as (
   select sha256({_canonical('text')}) as digest, min(license_id) as license_id
   from (values {known}) k(license_id, text) group by 1
-), scanned as (select doc_id, sha256({_canonical('text')}) as digest from documents)
+), scanned as (select doc_id, sha256({_canonical('text')}) as digest from {documents})
 select doc_id, digest, license_id from scanned left join known using (digest)
 """
 
 
+def planted_licenses() -> str:
+    """The scan of documents of which every tenth is a licence in another spelling."""
+    texts = ", ".join("'{}'".format(t.replace("'", "''")) for _, t in KNOWN)
+    text = f"[{texts}][(doc_id // 10) % {len(KNOWN)} + 1]"
+    spelt = f"'Copyright (c) 2020 Someone' || chr(10) || replace(upper({text}), ', ', ' ; ')"
+    return license_scan(f"(select doc_id, case when doc_id % 10 = 0 then {spelt} else text end as text from documents)")
+
+
 MIXING = r"""
 with docs as materialized (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,

@@ -124,3 +124,13 @@ def test_license_scan(spark):
     want = [(1, "MIT"), (2, "MIT"), (2, "CC-BY-NC-4.0"), (3, "MIT"), (4, None), (5, None), (6, None), (7, None), (8, "Apache-2.0"), (9, None), (10, None)]
     assert found == sorted(want, key=repr)
     assert ls.scan(docs.limit(0), ls.known_licenses(spark)).collect() == []
+
+
+def test_every_known_text_is_found_in_another_spelling(spark):
+    texts = [(i, "(c) 2019 X\n" + t.upper().replace(", ", " ;  ").replace("LICENSE", "LICENCE") + "\n") for i, (_, t) in enumerate(ls.KNOWN)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r.doc_id: r.license_id for r in ls.scan(docs, ls.known_licenses(spark)).collect()}
+    assert found == {i: name for i, (name, _) in enumerate(ls.KNOWN)}
+    own = spark.createDataFrame([("OWN-1", "Do as you like, Version 2.0")], "license_id string, text string")
+    rows = spark.createDataFrame([(1, "do as you like v2")], "doc_id long, text string")
+    assert ls.scan(rows, ls.known_licenses(spark, own)).first().license_id == "OWN-1"

@@ -126,6 +126,16 @@ def test_kernel_bound_and_value():
         assert (word in marks.close([word])) == (marks.kernel(word).max() >= tx.LEAST)
 
 
+@needs_data
+def test_languages_of_held_out_documents(spark):
+    """The declared languages of rows that training did not read."""
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = [r for r in queries.QUERIES["op7_language_id"](spark, FOLDER).collect() if r.held_out]
+    assert len(rows) > 20 and all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows)
+    assert sum(r.lang == lang[r.doc_id] for r in rows if r.kept) >= 0.95 * sum(r.kept for r in rows)
+    assert sum(r.kept for r in rows) >= 0.9 * len(rows)
+
+
 def test_trigrams_do_not_hang_on_slices(monkeypatch):
     text = "Ein  Satz, 12 Wörter; und  noch einer. " * 40
     whole = li.grams(text)
