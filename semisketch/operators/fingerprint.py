@@ -73,6 +73,22 @@ def fingerprint(
     return finish(_by_length(sums, lengths), dialect, normalize, decimals)
 
 
+def fingerprint_parts(
+    parts: DataFrame, lengths=(50,), normalize: bool = False, decimals: int | None = 3, **settings
+) -> DataFrame:
+    """``(doc_id, L, statements, fp)`` of documents that come in parts, rows of one id.
+
+    Parts are vectorised where they lie and summed in partial aggregates; the other
+    settings are those of ``fingerprint``.
+    """
+    lengths = parse_lengths(lengths)
+    fps = fingerprint(parts, lengths, decimals=None, **settings)
+    cells = F.array(*[F.sum(F.get("fp", F.lit(i))) for i in range(lengths[-1])])
+    sums = fps.groupBy("doc_id", "L").agg(F.sum("statements").alias("statements"), cells.alias("fp"))
+    sums = sums.withColumn("fp", F.slice("fp", F.lit(1), F.col("L")))
+    return finish(sums, settings.get("dialect", "v2"), normalize, decimals)
+
+
 def fingerprint_rows(docs: DataFrame, length: int = 50, decimals: int | None = 3) -> DataFrame:
     """Row mode: every top-level entry is an entity, strings are never numbers,
     arrays carry no content, vectors are always z-scored and zero ones left out."""

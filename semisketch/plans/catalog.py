@@ -118,6 +118,22 @@ def read_json_map(spark: SparkSession, folder: str) -> DataFrame:
     return _triple_rows(dox.read_json_map(spark, path))
 
 
+_PARTS_SQL = f"""with s as ({orc.supplier_sql()})
+select case when name = 'root' then 's ' || substr(doc_id, 2) else name end as name, key, cargo from s
+union all select 'root', 's ' || substr(doc_id, 2), cast(count(*) as varchar) from s where name = 'root' group by doc_id"""
+
+
+@register(_PARTS_SQL)
+def read_json_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of one object each, as documents that come in parts."""
+    rows = _batched(spark, folder)
+    record = F.struct(*[c for c in rows.columns if c not in ("batch", "id")])
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col("id"), record)))
+    texts = rows.groupBy("batch").agg(F.to_json(pairs).alias("text"))
+    path = _single_files(texts.select("text"), scratch_folder(spark))
+    return _triple_rows(dox.read_json_parts(spark, path)).drop("doc_id")
+
+
 def _write_lines(spark: SparkSession, folder: str, compression: str = "none") -> str:
     path = scratch_folder(spark)
     lines = inp.supplier_texts(spark, folder).select(F.concat("text", F.lit(",")))

@@ -156,6 +156,10 @@ def entities(bodies: DataFrame, id_field: str, on_missing: str = "skip") -> Data
 # --- files --------------------------------------------------------------------
 
 
+def _plain_path(file_path: Column) -> Column:
+    return F.url_decode(F.regexp_replace(file_path, r"\+", "%2B"))
+
+
 def whole_files(
     spark: SparkSession, path, extension: str, recursive: bool = False, pattern: str | None = None
 ) -> DataFrame:
@@ -168,7 +172,7 @@ def whole_files(
         path, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter=pattern
     )
     files = found.select("_metadata.file_path", F.col("value").alias("text"))
-    name = F.url_decode(F.regexp_replace("file_path", r"\+", "%2B"))
+    name = _plain_path(F.col("file_path"))
     if recursive:
         below = str(path).rstrip("/").removeprefix("file:") + "/"
         name = F.substring_index(name, below, -1)
@@ -188,6 +192,23 @@ def read_json_tree(spark: SparkSession, path) -> DataFrame:
     return valid_docs(parse_documents(whole_files(spark, path, "json", recursive=True)))
 
 
+def read_json_parts(spark: SparkSession, path) -> DataFrame:
+    """Documents of files that each hold one JSON object, however large, in parts.
+
+    A part has some of the top-level entries, each of which has to fit a variant, and the
+    id of its file.  The statements of a document are those of its parts, and its
+    fingerprint is their sum (``fingerprint_parts``), as nothing in a fingerprint refers
+    to the document as a whole.  A key should occur once: equal keys in different parts
+    all count.
+    """
+    from .entity_files import parsed_entities
+
+    values = valid_docs(parsed_entities(spark, path, "{"))
+    name = file_stem(F.substring_index(_plain_path(F.col("file")), "/", -1), "json")
+    # without the filler that stands before the entries of a part
+    return values.select(name.alias("doc_id"), drop_id_field(F.col("body"), "").alias("body"))
+
+
 def read_json_array(spark: SparkSession, path, id_field: str) -> DataFrame:
     """Entities of files that each hold one array of objects, however large."""
     from .entity_files import parsed_entities

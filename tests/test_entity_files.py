@@ -4,6 +4,8 @@ import json
 
 import pytest
 
+from semisketch.operators.fingerprint import fingerprint, fingerprint_parts
+from semisketch.operators.structure import Shape, triples
 from semisketch.sources import documents as dox
 from semisketch.sources.entity_files import parsed_entities
 
@@ -84,3 +86,28 @@ def test_one_file_is_read_by_several_tasks(spark, tmp_path):
         assert docs.select("doc_id").distinct().count() == 20_000 == docs.count()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("size", [200, 1 << 20])
+def test_documents_in_parts_are_the_whole_documents(spark, tmp_path, size):
+    """Statements and vectors of objects read as one value or cut at their entries."""
+    def made(n):
+        return {f"k {n} {i}": v for i in range(25) for v in [[{"a": i, "b": [1, {"c": "}{"}]}, "x"] if i % 3 else {"d": {"e": i, "f": None}, "t": 'q"\\'}]} | {"zero": 0, "last": "word"}
+
+    for n in range(3):
+        (tmp_path / f"d{n}.json").write_text(json.dumps(made(n), indent=n or None))
+    whole = dox.read_json_dir(spark, str(tmp_path))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        parts = dox.read_json_parts(spark, str(tmp_path))
+        assert parts.count() > 3
+        for shape in (Shape(), Shape(dialect="v1"), Shape(skip_nulls=False)):
+            assert sorted(map(repr, triples(parts, shape).collect())) == sorted(map(repr, triples(whole, shape).collect()))
+        found = {(r.doc_id, r.L): (r.statements, r.fp) for r in fingerprint_parts(parts, "5 9").collect()}
+        want = {(r.doc_id, r.L): (r.statements, r.fp) for r in fingerprint(whole, "5 9").collect()}
+        assert set(found) == set(want)
+        for k, (n, fp) in want.items():
+            assert found[k][0] == n and found[k][1] == pytest.approx(fp, abs=2e-3)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
