@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,10 @@ def numbered(
     for row in placed.groupBy(part.alias("_part")).agg(size.alias("size")).orderBy("_part").collect():
         starts.append((row._part, ahead))
         ahead += row["size"]
-    starts = rows.sparkSession.createDataFrame(starts, "_part long, _start long")
+    # as Arrow, which the JVM reads by itself; a list of rows starts workers that stay
+    starts = rows.sparkSession.createDataFrame(pa.table(
+        {"_part": pa.array([p for p, _ in starts], pa.int64()), "_start": pa.array([s for _, s in starts], pa.int64())}
+    ))
     if weight is None:
         within = F.col("_place").bitwiseAND((1 << _BITS) - 1)
     else:
