@@ -338,3 +338,20 @@ def test_many_copies(spark):
     assert len(best) == 50_000 and {r["corr"] for r in best} == {1.0}
     twice = same.limit(600).selectExpr("'x' AS doc_id", "fp")
     assert pairs(index_entries(twice), cutoff=0.9).count() == 600 * 599 // 2
+
+
+def test_pairs_are_listed_without_rank_vectors(fps):
+    """What comes back from the tile pairs names classes by their least id or a number."""
+    entries = index_entries(fps)
+    for found in (pairs(entries, cutoff=0.3, tile_rows=60), class_pairs(entries, cutoff=0.3, tile_rows=60)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "q_ranks" not in plan and "t_ranks" not in plan
+
+
+def test_pairs_of_copies_that_are_too_many_to_send(spark, fps, monkeypatch):
+    monkeypatch.setattr(search, "FEW_NODES", 0)
+    entries = index_entries(fps)
+    assert rounded(pairs(entries, cutoff=0.6, tile_rows=60)) == brute(0.6)
+    some = entries.where("id < 'e040'")
+    listed = rounded(pairs(some, entries, cutoff=0.6, tile_rows=60))
+    assert listed == brute(0.6, range(40), False)
