@@ -4,13 +4,16 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from semisketch.operators.fingerprint import tokens_of
 from semisketch.operators.structure import (
     Shape,
+    child_counts,
     nodes,
     statement_count,
     triples,
     triples_preorder,
 )
+from semisketch.plans import inputs
 
 
 def found(df):
@@ -136,3 +139,21 @@ def test_preorder(docs):
             ("sd", "sw", "i3"),
         ]
     )
+
+
+def filters(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if "Filter " in line]
+
+
+def test_documents_are_walked_once(docs):
+    """No filter on a list that is exploded walks the documents again."""
+    found = docs({"a": '{"x":[1,{"y":2}],"z":"w"}'})
+    tables = [triples(found), triples(found, kind="array"), triples_preorder(found), nodes(found), child_counts(found), tokens_of(found)]
+    assert [line for t in tables for line in filters(t) if "aggregate(" in line] == []
+
+
+def test_rows_are_spread_over_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(inputs, "TASK_ROWS", 10)
+    rows = inputs.spread(spark.range(0, 205, 1, 4))
+    assert rows.rdd.getNumPartitions() == 21 and rows.count() == 205
