@@ -355,3 +355,10 @@ def test_pairs_of_copies_that_are_too_many_to_send(spark, fps, monkeypatch):
     some = entries.where("id < 'e040'")
     listed = rounded(pairs(some, entries, cutoff=0.6, tile_rows=60))
     assert listed == brute(0.6, range(40), False)
+
+
+def test_entities_without_a_vector_are_in_no_pair(spark):
+    entries = spark.createDataFrame(
+        [("a", [0, 1, 2]), ("b", [0, 1, 2]), ("c", [0, 2, 1]), ("x", None), ("y", None)], "id string, ranks array<int>"
+    )
+    assert not {"x", "y"} & {i for r in pairs(entries, cutoff=-1.0).collect() for i in (r.q, r.t)}
