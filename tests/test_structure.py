@@ -13,7 +13,7 @@ from semisketch.operators.structure import (
     triples,
     triples_preorder,
 )
-from semisketch.plans import inputs
+from semisketch.plans import catalog, inputs
 
 
 def found(df):
@@ -153,7 +153,33 @@ def test_documents_are_walked_once(docs):
     assert [line for t in tables for line in filters(t) if "aggregate(" in line] == []
 
 
+@pytest.mark.parametrize("shape", [Shape(), Shape(dialect="v1"), Shape(arrays_are_sets=True)])
+def test_a_walk_has_no_costly_expressions(docs, shape):
+    """What looks branches up in a list or makes a lazy list of its inputs is slow where
+    it is interpreted, once for each node of each document."""
+    plan = triples(docs({"a": '{"x":[1,{"y":2}],"z":"w"}'}), shape)._jdf.queryExecution().optimizedPlan().toString()
+    (line,) = [s for s in plan.splitlines() if "struct(statements" in s and "aggregate(" in s]
+    assert "CASE WHEN" not in line and "concat(" not in line
+
+
+def test_documents_of_any_depth(docs):
+    """Documents that end inside a round, at its end and far below it."""
+    for depth in range(1, 9):
+        value = {"end": "x"}
+        for _ in range(depth):
+            value = {"a": {"c": value}, "b": [1, {"d": 2}]}
+        got = found(triples(docs({"d": json.dumps(value)})))
+        assert got == sorted(walk(value, Shape())[1])
+
+
 def test_rows_are_spread_over_tasks_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(inputs, "TASK_ROWS", 10)
     rows = inputs.spread(spark.range(0, 205, 1, 4))
     assert rows.rdd.getNumPartitions() == 21 and rows.count() == 205
+
+
+def test_single_files_are_written_by_many_tasks(spark, tmp_path):
+    texts = spark.range(0, 40, 1, 1).selectExpr("cast(id as string) as text")
+    catalog._single_files(texts, str(tmp_path / "files"))
+    names = [f.name for f in (tmp_path / "files").glob("part-*")]
+    assert len(names) == 40 and len({n[:10] for n in names}) > 1
