@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import computed_once, let
+from ..session import materialize
 from .documents import Checked, checked, entities, parsed_entity, whole_files
 from .xml_scan import record_texts
 
@@ -123,6 +124,6 @@ def read_xml_records(
 
 def check_xml_records(spark: SparkSession, path, row_tag: str, id_field: str) -> Checked:
     """``read_xml_records`` with its rejects, which come with their ``file``; a file that
-    ends inside a record has one without a text."""
+    ends inside a record has one without a text.  Records are parsed once for both."""
     rows = record_texts(spark, path, row_tag)
-    return checked(parsed_entity(rows, xml_body(F.col("text")), id_field, "text"))
+    return checked(materialize(parsed_entity(rows, xml_body(F.col("text")), id_field, "text")))

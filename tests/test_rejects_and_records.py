@@ -126,6 +126,13 @@ def test_broken_files_and_records(spark, tmp_path):
     assert sorted(r.doc_id for r in xml.read_xml_records(spark, str(tmp_path), "rec", "id", "skip").collect()) == ["1", "4"]
 
 
+def test_checked_records_are_parsed_once(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<all><rec id='1'/><rec/></all>")
+    found = xml.check_xml_records(spark, str(tmp_path), "rec", "id")
+    for part in (found.docs, found.rejects):
+        assert "from_xml" not in part._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_nested_records_keep_their_content(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<all><rec id='1'><rec>x</rec><t><![CDATA[</rec>]]></t></rec></all>")
     body = xml.read_xml_records(spark, str(tmp_path), "rec", "id").select(F.to_json("body")).first()[0]
