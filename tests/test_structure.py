@@ -10,6 +10,7 @@ from semisketch.operators.structure import (
     child_counts,
     nodes,
     statement_count,
+    triple_text,
     triples,
     triples_preorder,
 )
@@ -183,3 +184,26 @@ def test_single_files_are_written_by_many_tasks(spark, tmp_path):
     catalog._single_files(texts, str(tmp_path / "files"))
     names = [f.name for f in (tmp_path / "files").glob("part-*")]
     assert len(names) == 40 and len({n[:10] for n in names}) > 1
+
+
+ODD = [None, "", "0", "0.0", "{}", "[]", "-", "-0", "true", "é", 0, -3, 0.5, 10**20, False, {}, [], [0], [None], [""], [{}], [[[]]]]
+
+
+@pytest.mark.parametrize("shape", [Shape(), Shape(dialect="v1"), Shape(arrays_are_sets=True), Shape(skip_nulls=False)])
+def test_members_are_counted_by_their_texts(docs, shape):
+    """A count describes only those members whose text may be that of nothing."""
+    values = [{"k": {"x": v, "y": [v, v], "z": 1}} for v in ODD] + [{"k": dict(enumerate(ODD)), "l": ODD}]
+    rows = triples(docs({str(i): json.dumps(v) for i, v in enumerate(values)}), shape)
+    got = {}
+    for r in rows.collect():
+        got.setdefault(int(r.doc_id), []).append((r.name, r.key, r.cargo))
+    for i, value in enumerate(json.loads(json.dumps(values))):
+        assert sorted(got[i]) == sorted(walk(value, shape)[1]), json.dumps(value)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert (" >= 1)" in plan) == shape.skip_nulls
+
+
+def test_texts_of_tokens_are_cut_once(docs):
+    rows = triple_text(triples(docs({"a": '{"x":1}'})))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert plan.startswith("Project") and "length(" not in plan
