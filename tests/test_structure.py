@@ -10,6 +10,7 @@ from semisketch.operators.structure import (
     child_counts,
     nodes,
     statement_count,
+    statements,
     triple_text,
     triples,
     triples_preorder,
@@ -207,3 +208,20 @@ def test_texts_of_tokens_are_cut_once(docs):
     rows = triple_text(triples(docs({"a": '{"x":1}'})))
     plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
     assert plan.startswith("Project") and "length(" not in plan
+
+
+def test_one_kind_is_made_alone(docs):
+    """The walk makes statements of the wanted kind only, and those are the same."""
+    texts = [
+        '{"a":{"b":[1,[2,{"g":"x","h":[3]}]]},"c":[[]],"d":[{}],"e":null,"f":0,"g":"","h":"0"}',
+        '[1,null,0,"",{"a":0},{"a":null},[0,0],[[1]],{}]',
+        '{"x":[{"y":[1,2,{"z":[{"q":[5,6,[7,8,[9,10,{"w":{"v":"1"}}]]]}]}]},true]}',
+        '{"MedicationOrder":{}}',
+    ]
+    table = docs({str(i): t for i, t in enumerate(texts)})
+    for shape in (Shape(), Shape(dialect="v1"), Shape(arrays_are_sets=True), Shape(skip_nulls=False)):
+        every = triples(table, shape).collect()
+        for kind in ("object", "array", "set"):
+            made = table.select(F.explode(statements(shape, kind)).alias("s")).select("s.kind").distinct().collect()
+            assert {r.kind for r in made} <= {kind}
+            assert triples(table, shape, kind).collect() == [r for r in every if r.kind == kind]
