@@ -80,6 +80,21 @@ def test_cross_pairs(fps):
     assert raw.agg({"pairs": "sum"}).first()[0] == len(brute(0.7, range(40), False))
 
 
+def test_pairs_at_the_cutoff_and_entities_without_a_vector(spark):
+    n = 64
+    there = np.random.default_rng(5).permuted(np.tile(np.arange(n), (400_000, 1)), axis=1)
+    gaps = ((there - np.arange(n)) ** 2).sum(1)
+    exact, below = there[gaps == 39312][0], there[gaps == 39314][0]
+    rows = [("e0", None), ("e1", list(range(n))), ("e2", exact.tolist()), ("e3", None), ("e4", below.tolist())]
+    entries = spark.createDataFrame([(i, r, n) for i, r in rows], "id string, ranks array<int>, L int")
+    for tile_rows in (2048, 1):
+        found = class_pairs(entries, cutoff=0.1, tile_rows=tile_rows).where("q <> t")
+        met = {(r.q, r.t): round(r["corr"], 9) for r in found.collect()}
+        assert met.pop(("e1", "e2")) == 0.1 and ("e1", "e4") not in met
+        gap = ((exact - below) ** 2).sum()
+        assert met == ({("e2", "e4"): round(1 - 6 * gap / (n * (n * n - 1)), 9)} if gap <= 39312 else {})
+
+
 def test_histogram(fps):
     found = {round(r["corr"], 2): r.pairs for r in corr_histogram(index_entries(fps), tile_rows=24).collect()}
     bins = Counter(
