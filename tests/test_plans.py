@@ -7,6 +7,7 @@ from semisketch.operators.dictionary import TokenDictionary
 from semisketch.operators.fingerprint import fingerprint
 from semisketch.operators.search import Tree
 from semisketch.operators.structure import triples
+from semisketch.plans import catalog
 
 
 def plan_of(df):
@@ -55,3 +56,12 @@ def _permutations(n):
     import itertools
 
     return itertools.islice(itertools.permutations(range(7)), n)
+
+
+def test_documents_that_become_files_are_spread_over_the_cores(spark, tmp_path):
+    rows = [(i, f"Supplier#{i}", i % 3, float(i)) for i in range(40)]
+    kind = "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    docs = catalog._supplier_docs(spark, str(tmp_path))
+    used = [r.n for r in docs.select(F.spark_partition_id().alias("n")).distinct().collect()]
+    assert docs.count() == 40 and len(used) == spark.sparkContext.defaultParallelism
