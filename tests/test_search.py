@@ -4,6 +4,7 @@ from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from semisketch.operators import commits, search
@@ -95,6 +96,25 @@ def test_pairs_at_the_cutoff_and_entities_without_a_vector(spark):
         assert met == ({("e2", "e4"): round(1 - 6 * gap / (n * (n * n - 1)), 9)} if gap <= 39312 else {})
 
 
+@pytest.mark.parametrize("width", [2, 13, 64, 256, 257])
+def test_least_product_and_short_products_in_single_precision(width):
+    """The least product that meets a cutoff, for all decimals; products are exact."""
+    whole, squares = width * (width * width - 1), sum(i * i for i in range(width))
+    for hundredths in range(-100, 101):
+        least = search._least(hundredths / 100, width)
+        assert 100 * (whole - 12 * (squares - least)) >= hundredths * whole
+        assert 100 * (whole - 12 * (squares - least + 1)) < hundredths * whole
+    ranks = np.array([np.arange(width), np.arange(width)[::-1]], np.int32)
+    block = pa.table({
+        "side": [0, 0, 2], "tile": pa.array([0, 0, 0], pa.int64()), "other": pa.array([None, None, 0], pa.int64()),
+        "ranks": pa.array([*ranks.tolist(), None], pa.list_(pa.int32())), "rep": ["a", "b", None],
+        "members": pa.array([1, 1, None], pa.int64()), "no": pa.array([0, 1, None], pa.int64()),
+    })
+    ((products, same, *_),) = search._tile_products(iter(block.to_batches()), width)
+    assert same and products.dtype == (np.float32 if width <= 256 else np.float64)
+    assert products.tolist() == (ranks.astype(np.int64) @ ranks.T.astype(np.int64)).tolist()
+
+
 def test_histogram(fps):
     found = {round(r["corr"], 2): r.pairs for r in corr_histogram(index_entries(fps), tile_rows=24).collect()}
     bins = Counter(
